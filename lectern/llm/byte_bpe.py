@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.shipping import map_arrow
 from lectern.llm.arrow import slices, texts
 
 #: Entries of a worker's tables of chunks and of pre-tokens; bounds memory only.
@@ -210,4 +211,4 @@ def encoded(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text",
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return own.mapInArrow(run, schema)
+    return map_arrow(own, run, schema)

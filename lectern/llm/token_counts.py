@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.shipping import map_arrow
 from lectern.llm.arrow import slices, texts
 
 MARK = "▁"
@@ -185,4 +186,4 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, text: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(own, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
