@@ -12,10 +12,15 @@ from lectern.llm.common import documents, fold, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.language_id import languages
 from lectern.llm.packing import packed
+from lectern.llm.quality import ruled
 from lectern.llm.token_counts import token_counts
 from lectern.llm.toxicity import default_scores
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ruled(documents(spark, sf_dir), trusted=labels(spark, sf_dir).where("quality = 1"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep_ids=False)
