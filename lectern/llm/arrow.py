@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 SLICE_ROWS, SLICE_BYTES = 2_000, 8_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice has few rows and, unless one row is longer, few bytes."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, n in enumerate(lengths.tolist()):
-            if i > start and (size + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            if i > start and (size + n > most or i - start >= SLICE_ROWS):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
@@ -28,3 +28,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 def texts(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """The texts, null as empty."""
     return pc.fill_null(batch.column(text), "").to_pylist()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined until they have at least ``rows`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)

@@ -12,7 +12,9 @@ from lectern.llm.common import documents, fold, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.language_id import languages
 from lectern.llm.packing import packed
+from lectern.llm.phrase_dedup import phrase_free
 from lectern.llm.quality import ruled
+from lectern.llm.suffix_dedup import substring_free
 from lectern.llm.token_counts import token_counts
 from lectern.llm.toxicity import default_scores
 
@@ -26,6 +28,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_free(documents(spark, sf_dir), length=100, keep_text=False)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir), teaches=fold("doc_id", 4) != 2)
 
@@ -34,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_free(documents(spark, sf_dir), length=13, keep_text=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
