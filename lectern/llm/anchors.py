@@ -263,18 +263,23 @@ def snippets(open_: DataFrame, symbols: Callable, spec: Windows, cut: Callable,
     return found.repartition("key").sortWithinPartitions("key", "doc", "start")
 
 
-def removed_ranges(docs: DataFrame, symbols: Callable, spec: Windows, resolve: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc, text), and (doc, ranges) of all symbols to remove.
+def named(docs: DataFrame, text: str, doc_id: str, carried: list[str] | None = None) -> DataFrame:
+    """(doc, text) without nulls, and where asked for the struct ``carried`` of other columns."""
+    more = [F.struct(*(F.col(c) for c in carried)).alias("carried")] if carried else []
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+
+
+def removed_ranges(docs: DataFrame, symbols: Callable, spec: Windows, resolve: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
+    """(doc, ranges) of all symbols to remove; documents without any are missing.
 
     ``resolve`` gets (doc, text, refs) of references left open, and gives (doc, start, end).
     """
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = named(docs, text, doc_id)
     found = written(references(anchor_rows(own, symbols, spec), spec))
     gone = found.where("how = 0").select("doc", "start", "end")
     refs = found.where("how > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "key", "anchor", "how")).alias("refs"))
     more = resolve(refs.join(own.hint("merge"), "doc"))
-    ranges = gone.unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return own, ranges
+    return gone.unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def range_arrays(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:

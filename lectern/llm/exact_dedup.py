@@ -9,7 +9,8 @@ identifiers, a few bytes a kilobyte, and only these recipes are grouped: long te
 once, into the dictionary, and copies of a chunk are merged before they move.
 
 Edge cases: null counts as empty; an empty text has an empty recipe; repeated rows with
-one doc_id count as rows; ties keep the largest doc_id; empty tables give no rows; other
+one doc_id count as rows; ties keep the largest doc_id, a null one only
+where there is no other; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -59,5 +60,5 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     )
     hit = own.join(groups.hint("merge"), (F.col("key") == F.col("g_key")) & (F.col("recipe") == F.col("g_recipe")))
     return hit.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

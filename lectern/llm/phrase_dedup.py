@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.anchors import MANY, NO_ID, Windows, merged, range_arrays, removed_ranges, snippets
+from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
 from lectern.llm.wordhash import words_of
 
@@ -99,7 +99,7 @@ def resolver(spec: Windows):
 def phrase_free(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, many: int = MANY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, and with ``keep_text`` kept_text, the words left joined by spaces."""
     spec = Windows(length, min(GRAM, length), within=False, many=many)
-    own, ranges = removed_ranges(docs, word_symbols, spec, resolver(spec), text, doc_id)
+    own, ranges = named(docs, text, doc_id), removed_ranges(docs, word_symbols, spec, resolver(spec), text, doc_id)
     names = ["doc", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

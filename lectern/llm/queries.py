@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.byte_bpe import encoded
 from lectern.llm.common import documents, fold, labels
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.jaccard_join import near_groups
 from lectern.llm.language_id import languages
 from lectern.llm.packing import packed
 from lectern.llm.phrase_dedup import phrase_free
 from lectern.llm.quality import ruled
 from lectern.llm.suffix_dedup import substring_free
 from lectern.llm.token_counts import token_counts
-from lectern.llm.toxicity import default_scores
+from lectern.llm.toxicity import default_folds, toxic_scores
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_free(documents(spark, sf_dir), length=13, keep_text=False)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), shingle=4, percent=85)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return default_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+    return toxic_scores(documents(spark, sf_dir), labels(spark, sf_dir), **default_folds())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

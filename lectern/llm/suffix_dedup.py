@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions.shipping import map_arrow
-from lectern.llm.anchors import MANY, NO_ID, Windows, merged, range_arrays, removed_ranges, snippets
+from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
 from lectern.llm.wordhash import BYTE
 
@@ -136,10 +137,13 @@ def resolver(spec: Windows):
     return resolve
 
 
-def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, many: int = MANY) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``keep_text`` kept_text, without characters that lost a byte."""
+def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, many: int = MANY, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    With ``keep_text`` kept_text, without characters that lost a byte; with ``carried`` a struct of those columns.
+    """
     spec = Windows(length, min(GRAM, length), within=True, many=many)
-    own, ranges = removed_ranges(docs, byte_symbols, spec, resolver(spec), text, doc_id)
+    own, ranges = named(docs, text, doc_id, carried), removed_ranges(docs, byte_symbols, spec, resolver(spec), text, doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -155,9 +159,12 @@ def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_i
                 rest = b"".join(kept)
                 row = (len(raw), len(raw) - len(rest), len(start), sha256(rest).hexdigest())
                 rows.append((*row, b"".join(k.decode(errors="ignore").encode() for k in kept).decode()) if keep_text else row)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+            columns = [b.column("doc"), *(pa.array(c) for c in zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns + [b.column("carried")] * bool(carried), names)
 
-    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + ["carried"] * bool(carried)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
+    if carried:
+        schema = StructType(StructType.fromDDL(schema).fields + [own.schema["carried"]])
     out = map_arrow(own.hint("merge").join(ranges, "doc", "left"), run, schema)
     return out.select(F.when(F.col("doc") != F.lit(NO_ID), F.col("doc")).alias("doc_id"), *names[1:])

@@ -200,22 +200,23 @@ def placed(model: Model, held: DataFrame) -> Model:
     return model
 
 
-def toxic_scores(docs: DataFrame, marks: DataFrame, teaches: Column, places: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted for every document.
+def fitted(docs: DataFrame, marks: DataFrame, teaches: Column, places: Column, text: str = "text", doc_id: str = "doc_id") -> Model | None:
+    """The model that the rows of ``docs`` marked in marks(doc_id, toxic) give.
 
     Rows where ``teaches`` holds teach; those of them where ``places`` holds give no counts but
     place the curve. Both are conditions on ``doc_id``.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     one = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     one = one.where(teaches).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = own.where("text IS NOT NULL")
     model = learn(joined_to_labels(known, one.where(~places), "inner"))
-    if model is not None:
-        model = placed(model, joined_to_labels(known, one.where(places), "inner"))
-    shared = spark.sparkContext.broadcast(model)
+    return model if model is None else placed(model, joined_to_labels(known, one.where(places), "inner"))
+
+
+def toxic_scores(docs: DataFrame, marks: DataFrame, teaches: Column, places: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score, predicted for every document, by the model ``fitted`` gives."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, teaches, places, text, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -223,10 +224,23 @@ def toxic_scores(docs: DataFrame, marks: DataFrame, teaches: Column, places: Col
             columns = [b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = own.select("doc_id", F.coalesce(~teaches, F.lit(False)).alias("held_out"), "text")
     return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def default_scores(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``toxic_scores`` with fold 0 of 5 held out and fold 4 placing the curve."""
-    return toxic_scores(docs, marks, teaches=fold("doc_id", 5) != 0, places=fold("doc_id", 5) == 4)
+def without_toxic(docs: DataFrame, marks: DataFrame, teaches: Column, places: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below one half. Rows pass as they are; nothing is joined."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, teaches, places, text, doc_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            yield b.filter(pa.array(shared.value.scores(texts(b, text)) < 0.5)) if shared.value else b
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def default_folds() -> dict[str, Column]:
+    """Fold 0 of 5 by doc_id is held out, fold 4 places the curve."""
+    return {"teaches": fold("doc_id", 5) != 0, "places": fold("doc_id", 5) == 4}
