@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"(?U)\s+"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` uses it, inner lambdas included."""
+    return F.transform(F.array(value), f)[0]
+
+
 def tokens(text: Column) -> Column:
     """Runs of word characters of the lower-case text, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
