@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import finders, rollups, texts  # noqa: F401
+from lectern.plans import extracts, finders, rollups, texts  # noqa: F401
 from lectern.plans.registry import QUERIES, SQL
 
 
