@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.plans import extracts, finders, rollups, texts  # noqa: F401
 from lectern.plans.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["find_status"](spark, sf_dir)
+    scored = QUERIES["lexicon_scores"](spark, sf_dir)
+    places = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    return scored.join(places, "doc_id").groupBy("lang", "source", "stance").agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 6).alias("avg_score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
