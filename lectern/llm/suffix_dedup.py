@@ -160,7 +160,7 @@ def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_i
                 row = (len(raw), len(raw) - len(rest), len(start), sha256(rest).hexdigest())
                 rows.append((*row, b"".join(k.decode(errors="ignore").encode() for k in kept).decode()) if keep_text else row)
             columns = [b.column("doc"), *(pa.array(c) for c in zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns + [b.column("carried")] * bool(carried), names)
+            yield pa.RecordBatch.from_arrays(columns + ([b.column("carried")] if carried else []), names)
 
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + ["carried"] * bool(carried)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
