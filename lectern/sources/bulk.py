@@ -53,18 +53,16 @@ def read_texts(spark: SparkSession, path: str, longer_than: int = 100) -> DataFr
 def read_json(spark: SparkSession, path: str, longer_than: int = 100) -> DataFrame:
     """Files below ``path`` that are a list, an object with speeches or data, one object, or a list of bare strings."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).withColumn("file", F.input_file_name())
-    names = sorted({n for x in NAMES.values() for n in x})
-    one = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"mode": "PERMISSIVE"}
     v = F.col("value")
     as_list = F.from_json(v, T.ArrayType(T.StringType()), options)
     inner = F.coalesce(F.get_json_object(v, "$.speeches"), F.get_json_object(v, "$.data"))
     items = F.when(F.trim(v).startswith("["), as_list).when(inner.isNotNull(), F.from_json(inner, T.ArrayType(T.StringType()), options)).otherwise(F.array(v))
     rows = raw.select("file", F.explode(items).alias("item"))
-    with_case = F.from_json("item", one, options)
-    rows = rows.select("file", "item", F.when(F.trim("item").startswith("{"), with_case).alias("x"))
-    flat = rows.select("file", *(F.col(f"x.{n}").alias(n) for n in names if n != "text"), F.when(F.col("x").isNull(), F.col("item")).otherwise(F.col("x.text")).alias("text"))
-    return _kept(flat, longer_than)
+    field = lambda names: F.coalesce(*(F.col("m")[n] for n in names))
+    rows = rows.withColumn("m", F.when(F.trim("item").startswith("{"), F.from_json("item", T.MapType(T.StringType(), T.StringType()), options)))
+    whole = {f: field(NAMES[f]) for f in FIELDS if f != "text"} | {"text": F.when(F.col("m").isNull(), F.col("item")).otherwise(field(NAMES["text"]))}
+    return _kept(rows.select("file", *(c.alias(f) for f, c in whole.items())), longer_than)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
