@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.plans import extracts, finders, rollups, texts  # noqa: F401
+from lectern.plans import extracts, finders, more, rollups, texts  # noqa: F401
 from lectern.plans.registry import QUERIES, SQL
 
 

@@ -130,11 +130,11 @@ def circuit_breaker_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 429 ELSE 200 END AS code, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
  r AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, 1::DOUBLE AS delay FROM (SELECT DISTINCT user_id FROM e) UNION ALL
   SELECT e.user_id, e.n, e.event_id, greatest(1::DOUBLE, least(300::DOUBLE, delay * CASE WHEN code = 429 THEN 1.5::DOUBLE WHEN code >= 500 THEN 1.2::DOUBLE ELSE 0.95::DOUBLE END)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
- SELECT user_id, event_id, round(delay, 4) AS delay FROM r WHERE n > 0""")
+ SELECT user_id, event_id, floor(delay * 1000)::BIGINT AS delay FROM r WHERE n > 0""")
 def rate_limit_fold(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "view", 429).otherwise(200)
     e = table(spark, sf, "events").select("user_id", "event_id", code.alias("code"))
-    return adaptive_delay(e, ["user_id"], "event_id", "code").select("user_id", "event_id", F.round("delay", 4).alias("delay"))
+    return adaptive_delay(e, ["user_id"], "event_id", "code").select("user_id", "event_id", F.floor(F.col("delay") * 1000).cast("long").alias("delay"))
 
 
 @query("""SELECT p_partkey, p_size % 3 AS major, p_size % 5 AS minor, p_size % 7 AS patch, CASE WHEN p_size % 2 = 0 THEN 'rc.1' ELSE '~' END AS pre FROM part""")
