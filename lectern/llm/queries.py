@@ -12,6 +12,7 @@ from lectern.llm.common import documents, fold, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.jaccard_join import near_groups
 from lectern.llm.language_id import languages
+from lectern.llm.oracle import SQL
 from lectern.llm.packing import packed
 from lectern.llm.phrase_dedup import phrase_free
 from lectern.llm.quality import ruled
@@ -67,14 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op6_exact_dedup": """
-            SELECT doc_id,
-                   max(doc_id) OVER w AS keep_id,
-                   count(*) OVER w AS group_size,
-                   doc_id = max(doc_id) OVER w AS kept,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents
-            WINDOW w AS (PARTITION BY coalesce(text, ''))
-        """,
-    }
+    return dict(SQL)
