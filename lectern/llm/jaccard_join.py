@@ -9,11 +9,14 @@ takes part in its own band and in those that a larger partner may be in. Documen
 sketch. A document with more empty cells than there are to spare also meets others of that kind by its empty
 cells, for those may be all that agree.
 
-Who meets is tested exactly, on whole sets, but not everyone with everyone: members of a bucket are paired
-with its first, tests become links and links components; then, as long as a bucket has members of
-different components that were not tested, its components are paired through other members, and at the end all pairs
-left in it. What is left untested is in one component already, so components are those of all links.
-Equal sets count as one node, copies in a task are merged before anything moves.
+Who meets is not yet paired with everyone: members of a bucket are paired with its first. Each node also has one
+bit sketch, into which its hashes are XORed as single bits; the Hamming distance of two such sketches
+is again a lower bound of the symmetric difference, a tight one, so few pairs reach the test of whole sets.
+Tests become links and links components. Then members of different components of a bucket are compared by their
+bit sketches where they meet, without a row for a pair; of those near enough each member's nearest are
+tested, components grow, and in the last round all that are near enough and untested are. What stays untested
+is in one component already or proven apart, so components are those of all links. Equal sets count
+as one node, copies in a task are merged before anything moves.
 
 Edge cases: a text with fewer words than a shingle is one shingle; without words or null it has none
 and links with nothing; repeated rows count each, rows that share a doc_id fall into one component;
@@ -22,7 +25,7 @@ other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from lectern.llm.common import written
 from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
 
-#: Bytes of text a slice; ratio of a band's bounds; rounds of pairing by components before all pairs left are taken.
-SCAN_BYTES, RATIO, ROUNDS = 3_000_000, 1.5, 4
+#: Bytes of text a slice; ratio of a band's bounds; rounds in which a member's nearest are tested before all are, and how many.
+SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 6
+#: 64-bit words of sketches that are compared at a time.
+WORDS = 1_500_000
 #: Members of a node that one task tests; rows gathered of sorted batches.
 TESTED, GATHER = 1_000, 100_000
 
@@ -173,43 +178,132 @@ def bucket_links(own: DataFrame, size: int, percent: int) -> DataFrame:
     return map_arrow(rows.repartition("route").sortWithinPartitions("route", "key", "doc"), meet, "key long, doc long, lead long").where("doc <> lead")
 
 
-def set_table(own: DataFrame, need: DataFrame, size: int) -> DataFrame:
-    """(doc, found) of the documents in need(doc): the sorted hashes of the set."""
+def most_apart(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """The largest symmetric difference of linked sets of sizes ``a`` and ``b``."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def bit_sketch(found: np.ndarray, percent: int) -> bytes:
+    """Bits into which the hashes are XORed; a power of two of them, some ten times the differences of linked sets."""
+    size = 1 << int(10 * most_apart(len(found), len(found), percent) + 255).bit_length()
+    bits = np.bincount((mix(found ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def unfolded(raw: bytes, size: int) -> np.ndarray:
+    """The sketch as 64-bit words, its halves XORed until it has ``size`` bytes."""
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def set_table(own: DataFrame, need: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n, found, sketch) of the documents in need(doc): the set's size, sorted hashes and bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SCAN_BYTES):
-            found = [s.tobytes() for s in shingle_sets(texts(b), size)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(found, pa.binary())], ["doc", "found"])
+            found = shingle_sets(texts(b), size)
+            columns = [pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s, percent) for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *columns], ["doc", "n", "found", "sketch"])
 
-    return map_arrow(own.hint("merge").join(need, "doc", "left_semi"), run, "doc long, found binary")
+    return map_arrow(own.hint("merge").join(need, "doc", "left_semi"), run, "doc long, n long, found binary, sketch binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets link. A node with many partners is tested by several tasks."""
+def near_enough(n: int, raw: bytes, m: int, other: bytes, percent: int) -> bool:
+    """Whether the bit sketches leave it open that sets of ``n`` and ``m`` link."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    size = min(len(raw), len(other))
+    return int(np.bitwise_count(unfolded(raw, size) ^ unfolded(other, size)).sum()) <= most_apart(n, m, percent)
+
+
+def sets_link(n: int, raw: bytes, m: int, other: bytes, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` hashes link."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    a, b = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
+    both = int((b[np.minimum(np.searchsorted(b, a), m - 1)] == a).sum())
+    return 100 * both >= percent * (n + m - both)
+
+
+def passing(pairs: DataFrame, sets: DataFrame, column: str, test: Callable, percent: int) -> DataFrame:
+    """The pairs(a, b) whose values of ``column`` pass the test. A node with many partners is tested by several tasks."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    routed = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TESTED)).alias("part"), F.col("b").alias("doc"))
+    routed = pairs.join(many.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TESTED)).alias("part"), F.col("b").alias("doc"))
     routed = routed.unionByName(routed.select("a", "part", F.col("a").alias("doc")).distinct())
-    met = routed.join(sets, "doc").repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc") != F.col("a"))
+    met = routed.join(sets.select("doc", "n", F.col(column).alias("raw")).hint("merge"), "doc")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc") != F.col("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, base = None, np.zeros(0, np.uint64)
+        at, size, base = None, 0, b""
         for b in batches:
             out = []
-            for a, part, doc, raw in zip(*(b.column(c).to_pylist() for c in ("a", "part", "doc", "found")), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+            for a, part, doc, n, raw in zip(*(b.column(c).to_pylist() for c in ("a", "part", "doc", "n", "raw")), strict=True):
                 if doc == a:
-                    at, base = (a, part), own
+                    at, size, base = (a, part), n, raw
                     continue
-                assert at == (a, part), "a node's own set comes first"
-                if min(len(own), len(base)) * 100 >= max(len(own), len(base)) * percent:
-                    place = np.minimum(np.searchsorted(base, own), len(base) - 1)
-                    both = int((base[place] == own).sum())
-                    if 100 * both >= percent * (len(own) + len(base) - both):
-                        out.append((a, doc))
+                assert at == (a, part), "a node's own row comes first"
+                if test(n, raw, size, base, percent):
+                    out.append((a, doc))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return map_arrow(met.select("a", "part", "doc", "n", "raw"), run, "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return passing(pairs, sets, "found", sets_link, percent)
+
+
+def near_pairs(members: DataFrame, nearest: int | None, percent: int) -> DataFrame:
+    """(a, b) of members(key, node, component, n, sketch) of different components of a bucket whose bit sketches are near enough.
+
+    With ``nearest`` only so many of the nearest for each member, block by block.
+    """
+
+    def compare(rows: list[tuple]) -> set[tuple[int, int]]:
+        size = min(len(r[3]) for r in rows)
+        node, component, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        bits = np.stack([unfolded(r[3], size) for r in rows])
+        out: set[tuple[int, int]] = set()
+        side = max(4, int((WORDS / bits.shape[1]) ** 0.5))
+        for i in range(0, len(rows), side):
+            for j in range(i, len(rows), side):
+                x, y = slice(i, i + side), slice(j, j + side)
+                apart = np.bitwise_count(bits[x, None] ^ bits[None, y]).sum(axis=2, dtype=np.int64)
+                p, q = n[x, None], n[None, y]
+                good = (apart <= most_apart(p, q, percent)) & (np.minimum(p, q) * 100 >= np.maximum(p, q) * percent) & (component[x, None] != component[None, y])
+                if nearest is not None and good.any():
+                    ranked = np.where(good, apart, 1 << 40)
+                    k = min(nearest, ranked.shape[1]) - 1
+                    good &= ranked <= np.partition(ranked, k, axis=1)[:, k : k + 1]
+                    few = np.cumsum(good, axis=1) <= nearest
+                    good &= few
+                for u, v in zip(*(w.tolist() for w in np.nonzero(good)), strict=True):
+                    a, b = int(node[i + u]), int(node[j + v])
+                    out.add((a, b) if a < b else (b, a))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, out = None, set()
+        for b in gathered(batches, 20_000):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch")), strict=True):
+                if key != last and held:
+                    if len(held) > 1:
+                        out |= compare(held)
+                    held = []
+                last = key
+                held.append(tuple(row))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = set()
+        if len(held) > 1 and (out := compare(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return map_arrow(met.select("a", "part", "doc", "found"), run, "a long, b long")
+    dealt = members.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -232,32 +326,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
     first = first.join(of_doc, "doc").select("lead", F.col("rep").alias("x")).join(of_doc.select(F.col("doc").alias("lead"), F.col("rep").alias("y")), "lead")
     pairs = written(_ordered(first, "x", "y"))
     need = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = written(set_table(own, need, shingle).dropDuplicates(["doc"]))
+    sets = written(set_table(own, need, shingle, percent).dropDuplicates(["doc"]))
+    pairs = written(passing(pairs, sets, "sketch", near_enough, percent))
     edges = written(linked(pairs, sets, percent))
     label = components(edges)
 
     # Members of buckets, as nodes; only buckets with different nodes matter.
     inside = links.select("key", "doc").unionByName(links.select("key", F.col("lead").alias("doc"))).join(of_doc, "doc").select("key", F.col("rep").alias("node")).distinct()
+    inside = written(inside)
     tested = pairs
     for round_ in range(ROUNDS + 1):
         placed = inside.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        if round_ < ROUNDS:
-            # A component's speaker in a bucket changes from bucket to bucket and from round to round.
-            speaker = F.min_by("node", F.xxhash64("node", "key", F.lit(round_)))
-            one = placed.groupBy("key", "component").agg(speaker.alias("node"))
-            lead = one.groupBy("key").agg(F.min_by("node", F.xxhash64("component", "key")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-            fresh = one.join(lead, "key").select("lead", "node")
-            more = _ordered(fresh, "lead", "node")
-        else:
-            open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            left = written(placed.join(open_, "key", "left_semi"))
-            cross = left.join(left.select("key", F.col("node").alias("other"), F.col("component").alias("theirs")), "key").where("component < theirs")
-            more = _ordered(cross, "node", "other")
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        members = placed.join(open_.hint("merge"), "key", "left_semi").join(sets.select(F.col("doc").alias("node"), "n", "sketch").hint("merge"), "node")
+        more = near_pairs(members, NEAREST if round_ < ROUNDS else None, percent).distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
-            if round_ < ROUNDS:
-                continue
-            break
+            continue
         found = written(linked(more, sets, percent))
         tested = tested.unionByName(more)
         if not found.isEmpty():
