@@ -40,7 +40,7 @@ from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
 
 #: Bytes of text a slice; ratio of a band's bounds; rounds in which a member's nearest are tested before all are, and how many.
-SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 6
+SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 1
 #: 64-bit words of sketches that are compared at a time.
 WORDS = 1_500_000
 #: Members of a node that one task tests; rows gathered of sorted batches.
@@ -184,7 +184,7 @@ def most_apart(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.nda
 
 
 def bit_sketch(found: np.ndarray, percent: int) -> bytes:
-    """Bits into which the hashes are XORed; a power of two of them, some ten times the differences of linked sets."""
+    """Bits into which the hashes are XORed; a power of two of them, ten times the differences of linked sets or more, so few fall together."""
     size = 1 << int(10 * most_apart(len(found), len(found), percent) + 255).bit_length()
     bits = np.bincount((mix(found ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
