@@ -96,6 +96,31 @@ def names_match(a: Column, b: Column) -> Column:
     return F.coalesce((F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) >= least), F.lit(False))
 
 
+def names_matched(df: DataFrame, key: str, name: str) -> DataFrame:
+    """All rows of ``df`` whose names match, each against each, as (a_id, b_id, same).
+
+    Names of equal parts match the same names, so they are one group that its least key stands for. Where ``same``
+    holds, b_id stands for a_id, once for every row whose name has parts; elsewhere a_id < b_id stand for groups that match.
+    Two rows match if one key stands for both or if those that stand for them are a pair.
+    Different groups match if a single part is one of two, or if they share two parts and one has more than two; they
+    meet on just that, so no pair is made that doesn't match. Null keys are left out.
+    """
+    parts = F.array_sort(name_tokens(F.col(name)))
+    rows = df.select(F.col(key).alias("a_id"), parts.alias("parts")).where(F.col("a_id").isNotNull() & (F.size("parts") > 0))
+    groups = rows.groupBy("parts").agg(F.min("a_id").alias("b_id"))
+    members = rows.join(groups, "parts").select("a_id", "b_id", F.lit(True).alias("same")).distinct()
+
+    def met(side: str, some: Column, keys: Column) -> DataFrame:
+        return groups.where(some).select(F.col("b_id").alias(side), F.size("parts").alias(f"n_{side}"), F.explode(keys).alias("meet"))
+
+    n, one = F.size("parts"), F.col("parts")
+    two = F.flatten(F.transform(one, lambda x, i: F.transform(F.slice(one, i + 2, F.size(one)), lambda y: F.array(x, y))))
+    single = met("x", n == 1, one).join(met("y", n == 2, one), "meet")
+    double = met("x", n > 2, two).join(met("y", n > 1, two), "meet").where("n_y = 2 OR x < y")
+    pairs = single.select("x", "y").unionByName(double.select("x", "y").distinct())
+    return members.unionByName(pairs.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.lit(False).alias("same")))
+
+
 def last_name(name: Column) -> Column:
     return F.lower(F.element_at(F.split(collapsed(name), " "), -1))
 

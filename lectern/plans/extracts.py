@@ -49,6 +49,12 @@ def names_match_join(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "part").where(va.names_match(F.col("x"), F.col("y"))).select("a_id", "b_id").distinct()
 
 
+@query()
+def names_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts against all parts, where ``names_match_join`` is the slice that its SQL states."""
+    return va.names_matched(table(spark, sf, "part"), "p_partkey", "p_name")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'exact' WHEN c_custkey % 3 = 1 THEN 'last_name' END AS source, CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS role FROM customer")
 def speaker_lookup_cascade(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import extraction, lexicons, scoring, text, validation, values
 from lectern.operators import dedup, finders, specs, state
+from lectern.plans import catalogue
 
 
 def one(spark, column, **row):
@@ -51,6 +52,35 @@ def test_names_match(spark, a, b, same):
     assert one(spark, values.names_match(F.col("a"), F.col("b")), a=a, b=b) is same
 
 
+def matching_pairs(found):
+    """All pairs of keys that groups and pairs of groups stand for, both ways and with themselves."""
+    stands, met = {}, set()
+    for r in found.collect():
+        if r.same:
+            assert r.a_id not in stands
+            stands[r.a_id] = r.b_id
+        else:
+            assert r.a_id < r.b_id and (r.a_id, r.b_id) not in met
+            met.add((r.a_id, r.b_id))
+    return {(a, b) for a, x in stands.items() for b, y in stands.items() if x == y or (min(x, y), max(x, y)) in met}
+
+
+def test_names_matched_is_brute_force(spark):
+    rng = random.Random(9)
+    names = [" ".join(rng.choice(["Ann", "Bo", "Cy", "Di", "Ed", "F.", "Gus", "ann"]) for _ in range(rng.randrange(6))) for _ in range(150)] + [None, "", " ", "A.", "Ann  Bo"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    a, b = (df.select(F.col("id").alias(f"{x}_id"), F.col("name").alias(x)) for x in "ab")
+    expected = {(r.a_id, r.b_id) for r in a.crossJoin(b).where(values.names_match(F.col("a"), F.col("b"))).collect()}
+    assert matching_pairs(values.names_matched(df, "id", "name")) == expected
+    assert values.names_matched(df.limit(0), "id", "name").count() == 0
+
+
+def test_names_match_all_covers_every_part(spark, sf_dir):
+    parts = {r.p_partkey: set(r.p_name.split()) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()}
+    expected = {(a, b) for a, x in parts.items() for b, y in parts.items() if len(x & y) >= min(2, len(x), len(y))}
+    assert matching_pairs(catalogue.queries()["names_match_all"](spark, sf_dir)) == expected
+
+
 def test_trigram_similarity(spark):
     assert one(spark, F.round(finders.trigram_similarity(F.lit("word"), F.col("b")), 6), b="two words") == 0.363636
 
