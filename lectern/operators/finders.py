@@ -57,6 +57,16 @@ def current(speakers: DataFrame, as_of: str) -> DataFrame:
     return by_name(speakers.where(F.col("end_date").isNull() | (F.col("end_date") >= F.lit(as_of).cast("date"))))
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """All pairs of a(key, s, e) and b(key, s2, e2) whose closed ranges overlap; a null bound overlaps nothing.
+
+    Rows of ``b`` are dealt over ``salts`` parts of a key, which those of ``a`` all visit, so a frequent key is shared by several tasks.
+    """
+    every = a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = b.withColumn("_salt", F.pmod(F.xxhash64(*b.columns), F.lit(salts)).cast("int"))
+    return every.join(dealt.hint("merge"), [key, "_salt"]).where("s <= e2 AND e >= s2").drop("_salt")
+
+
 def by_alternate_name(speakers: DataFrame, name: str) -> DataFrame:
     return by_name(speakers.where(F.array_contains("alternate_names", name) | F.array_join("alternate_names", " ").ilike(f"%{name}%")))
 

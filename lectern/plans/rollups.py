@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.finders import latest_per
+from lectern.operators.finders import latest_per, overlapping
 from lectern.operators.rollups import as_map, bins, cumulative_buckets, histogram, nonzero, percent, zero_filled
 from lectern.plans.domain import ANALYSES, INSTITUTIONS, SPEAKERS, SPEECHES, analyses, institutions, number, speakers, speeches, table
 from lectern.plans.registry import query
@@ -155,12 +155,22 @@ def cross_group_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SPEAKERS} SELECT a.speaker_id AS a_id, b.speaker_id AS b_id FROM (SELECT *, DATE '1996-01-01' AS s, coalesce(end_date, DATE '1996-03-01') AS e FROM speakers WHERE speaker_id <= 40) a
  JOIN (SELECT *, DATE '1996-01-01' + (speaker_id % 60)::INTEGER AS s, DATE '1996-01-20' + (speaker_id % 60)::INTEGER AS e FROM speakers WHERE speaker_id <= 40) b ON a.inst_id = b.inst_id AND a.s <= b.e AND a.e >= b.s""")
 def date_range_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    own = speakers(spark, sf).where("speaker_id <= 40")
+    return _terms_met(speakers(spark, sf).where("speaker_id <= 40"))
+
+
+@query()
+def date_range_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All speakers against all, where ``date_range_overlap_join`` is the slice that its SQL states."""
+    return _terms_met(speakers(spark, sf))
+
+
+def _terms_met(own: DataFrame) -> DataFrame:
+    """(a_id, b_id): speakers of an institution whose terms overlap."""
     day = lambda d: F.lit(d).cast("date")
     a = own.select(F.col("speaker_id").alias("a_id"), "inst_id", day("1996-01-01").alias("s"), F.coalesce("end_date", day("1996-03-01")).alias("e"))
     move = (F.col("speaker_id") % 60).cast("int")
     b = own.select(F.col("speaker_id").alias("b_id"), "inst_id", F.date_add(day("1996-01-01"), move).alias("s2"), F.date_add(day("1996-01-20"), move).alias("e2"))
-    return a.join(b, "inst_id").where("s <= e2 AND e >= s2").select("a_id", "b_id")
+    return overlapping(a, b, "inst_id").select("a_id", "b_id")
 
 
 @query(f"WITH {SPEECHES}, {SPEAKERS}, {INSTITUTIONS} SELECT code, stance, count(*) AS n FROM speeches JOIN speakers USING (speaker_id) JOIN institutions USING (inst_id) GROUP BY ROLLUP (code, stance)")

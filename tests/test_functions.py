@@ -81,6 +81,27 @@ def test_names_match_all_covers_every_part(spark, sf_dir):
     assert matching_pairs(catalogue.queries()["names_match_all"](spark, sf_dir)) == expected
 
 
+def test_overlapping_is_brute_force(spark):
+    rng = random.Random(4)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), day(x := rng.randrange(30)), day(x + rng.randrange(9)) if i % 11 else None) for i in range(90)]
+    a = spark.createDataFrame(rows, "a_id long, k long, s date, e date")
+    b = spark.createDataFrame(rows[::-1], "b_id long, k long, s2 date, e2 date")
+    expected = [(i, j) for i, k, s, e in rows for j, m, s2, e2 in rows if k is not None and k == m and None not in (e, e2) and s <= e2 and e >= s2]
+    for salts in (1, 16):
+        assert sorted((r.a_id, r.b_id) for r in finders.overlapping(a, b, "k", salts).collect()) == sorted(expected)
+
+
+def test_date_range_overlap_all_covers_every_speaker(spark, sf_dir):
+    rows, first = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey").collect(), datetime.date(1996, 1, 1)
+    day = lambda n: first + datetime.timedelta(n)
+    a = [(k, n, day(60) if k % 3 == 0 else day(k % 2000)) for k, n in rows]
+    b = [(k, n, day(k % 60), day(19 + k % 60)) for k, n in rows]
+    expected = [(i, j) for i, m, e in a for j, n, s2, e2 in b if m == n and first <= e2 and e >= s2]
+    found = [(r.a_id, r.b_id) for r in catalogue.queries()["date_range_overlap_all"](spark, sf_dir).collect()]
+    assert sorted(found) == sorted(expected) and max(found)[0] > 40
+
+
 def test_trigram_similarity(spark):
     assert one(spark, F.round(finders.trigram_similarity(F.lit("word"), F.col("b")), 6), b="two words") == 0.363636
 
