@@ -10,9 +10,10 @@ the mixture of both models by ``SHARE``. A text's value is the mean over its wor
 difference of the two log-likelihoods; a logistic curve, put where it parts the classes of a fold of
 the learning rows that gave no counts, turns it into a score.
 
-Counts come from all learning rows, whole texts, and move in one shuffle that grows with them.
-What reaches the driver and the workers are tables of fixed size (``WORD_CELLS`` and ``STEM_CELLS``
-hashed cells), whatever the corpus.
+Counts come from all learning rows, whole texts, and are kept for each distinct word and stem by its 64-bit
+hash; nothing is capped. What reaches the driver and the workers grows with the vocabulary: all stems, and the
+words that a class has more than ``DISCOUNT`` times. The discount leaves nothing of a rarer
+word's own count, so it scores the same without a row, by its stem.
 
 Edge cases: null and empty texts score as the mean ordinary text; rows with a null mark or doc_id
 teach nothing; a doc_id marked more than once counts as toxic if one mark says so; where a class
@@ -35,8 +36,6 @@ from lectern.llm.arrow import slices, texts
 from lectern.llm.common import fold, joined_to_labels
 from lectern.llm.wordhash import GAP, words_of
 
-WORD_BITS, STEM_BITS = 20, 18
-WORD_CELLS, STEM_CELLS = 1 << WORD_BITS, 1 << STEM_BITS
 #: Bytes of a stem; absolute discount of class counts; share of toxic expressions in a toxic text.
 STEM_BYTES, DISCOUNT, SHARE = 5, 2, 0.003
 #: Words end at ASCII bytes that are neither letters nor digits.
@@ -44,12 +43,12 @@ NO_WORD = GAP | np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOW, GATHERED = (1 << 32) - 1, 500_000
 
 
-def cells(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cell of each lower-case word, the cell of its stem, and the number of words of each text."""
+def hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each lower-case word, the hash of its stem, and the number of words of each text."""
     raw = [t.lower().encode() for t in bodies]
     word, counts = words_of(raw, NO_WORD)
     stem, _ = words_of(raw, NO_WORD, STEM_BYTES)
-    return (word & np.uint64(WORD_CELLS - 1)).astype(np.int64), (stem & np.uint64(STEM_CELLS - 1)).astype(np.int64), counts
+    return word.view(np.int64), stem.view(np.int64), counts
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -61,26 +60,38 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, *out
 
 
+def places_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` is in the sorted ``keys``; their number where it isn't."""
+    at = np.searchsorted(keys, wanted)
+    return np.where(np.append(keys, 0)[at] == wanted, at, len(keys))
+
+
 @dataclass
 class Model:
-    """Counts by class of words and stems, the mass discounted of each stem's words, and shared texts."""
+    """Counts by class of words and stems, the mass discounted of each stem's words, and shared texts.
+
+    Rows are in the order of the sorted keys; one more, of zeros, is for what has no key.
+    """
 
+    word_keys: np.ndarray
     word_n: np.ndarray
+    word_texts: np.ndarray
+    stem_keys: np.ndarray
     stem_n: np.ndarray
     freed: np.ndarray
-    word_texts: np.ndarray
     stem_texts: np.ndarray
     cut: float = 0.0
     steep: float = 0.0
     ordinary: float = 0.0
 
     def __post_init__(self) -> None:
-        base = (self.stem_texts + 1) / (self.stem_texts.sum() + STEM_CELLS)
+        base = (self.stem_texts + 1) / (self.stem_texts.sum() + len(self.stem_texts))
         self.stem_p = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * base) / n.sum() for n in self.stem_n]
 
     def values(self, bodies: list[str]) -> np.ndarray:
         """The mean log-likelihood difference of each text; NaN without words."""
-        word, stem, counts = cells(bodies)
+        word, stem, counts = hashes(bodies)
+        word, stem = places_in(self.word_keys, word), places_in(self.stem_keys, stem)
         shared, p = (self.word_texts[word] + 0.1) / (self.stem_texts[stem] + 1), []
         for c in (0, 1):
             n = self.stem_n[c][stem]
@@ -98,38 +109,39 @@ class Model:
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(key, n, texts) of train(text, toxic): stem and word; occurrences, toxic ones times 2**32; texts with the word."""
+    """(stem, word, n, texts) of train(text, toxic): hashes; occurrences, toxic ones times 2**32; texts with the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            word, stem, counts = cells(texts(b))
-            key, text = stem << WORD_BITS | word, np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((text, key))
-            first = np.diff(key[order], prepend=-1) != 0
+            word, stem, counts = hashes(texts(b))
+            text = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((text, word))
+            first = np.append(True, np.diff(word[order]) != 0)[: len(word)]
             new = (first | (np.diff(text[order], prepend=-1) != 0)).astype(np.int64)
             one = np.where(np.repeat(b.column("toxic").to_numpy(zero_copy_only=False) == 1, counts), 1 << 32, 1)[order]
             at = np.flatnonzero(first)
             if len(at):
-                parts = [key[order][at], np.add.reduceat(one, at), np.add.reduceat(new, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "n", "texts"])
+                parts = [stem[order][at], word[order][at], np.add.reduceat(one, at), np.add.reduceat(new, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["stem", "word", "n", "texts"])
 
-    rows = map_arrow(train.select("text", "toxic"), run, "key long, n long, texts long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    rows = map_arrow(train.select("text", "toxic"), run, "stem long, word long, n long, texts long")
+    return rows.groupBy("stem", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def table_rows(counts: DataFrame) -> DataFrame:
-    """(id, n, texts, freed): the cells of the word table, and from STEM on those of the stem table."""
+    """(is_word, key, n, texts, freed): words with more than ``DISCOUNT`` occurrences in a class, and all stems."""
 
-    def rows(key: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    def rows(stem: np.ndarray, word: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
         freed = np.minimum(n & LOW, DISCOUNT) + (np.minimum(n >> 32, DISCOUNT) << 32)
-        words = summed(key & (WORD_CELLS - 1), n, seen, freed)
-        stems = summed(WORD_CELLS + (key >> WORD_BITS), n, seen, freed)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(words, stems, strict=True)], ["id", "n", "texts", "freed"])
+        own = np.maximum(n & LOW, n >> 32) > DISCOUNT
+        words, stems = (word[own], n[own], seen[own], freed[own]), summed(stem, n, seen, freed)
+        kind = np.repeat([True, False], [len(words[0]), len(stems[0])])
+        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x)) for x in zip(words, stems, strict=True))], ["is_word", "key", "n", "texts", "freed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            held.append([b.column(c).to_numpy() for c in ("key", "n", "texts")])
+            held.append([b.column(c).to_numpy() for c in ("stem", "word", "n", "texts")])
             size += b.num_rows
             if size >= GATHERED:
                 yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -137,31 +149,27 @@ def table_rows(counts: DataFrame) -> DataFrame:
         if size:
             yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    parts = map_arrow(counts, run, "id long, n long, texts long, freed long")
-    return parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("freed").alias("freed"))
+    parts = map_arrow(counts, run, "is_word boolean, key long, n long, texts long, freed long")
+    return parts.groupBy("is_word", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("freed").alias("freed"))
 
 
 def learn(train: DataFrame) -> Model | None:
-    """The model of train(text, toxic); None if a class is missing. At most WORD_CELLS + STEM_CELLS rows come here."""
+    """The model of train(text, toxic); None if a class is missing. The rows of ``table_rows`` come here."""
     found = table_rows(word_counts(train)).toArrow()
-    ids, n, seen, freed = (found.column(c).to_numpy() for c in ("id", "n", "texts", "freed"))
-    word = ids < WORD_CELLS
+    is_word = found.column("is_word").to_numpy()
+    key, n, seen, freed = (found.column(c).to_numpy() for c in ("key", "n", "texts", "freed"))
 
-    def table(own: np.ndarray, first: int, size: int, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(size, np.float32)
-        out[ids[own] - first] = values[own]
-        return out
+    def table(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.append(values[at], 0).astype(np.float32)
 
-    def both(own: np.ndarray, first: int, size: int, values: np.ndarray) -> np.ndarray:
-        return np.stack([table(own, first, size, values & LOW), table(own, first, size, values >> 32)])
+    def both(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.stack([table(at, values & LOW), table(at, values >> 32)])
 
-    stem_n = both(~word, WORD_CELLS, STEM_CELLS, n)
+    word, stem = (x[np.argsort(key[x])] for x in (np.flatnonzero(is_word), np.flatnonzero(~is_word)))
+    stem_n = both(stem, n)
     if not stem_n.sum(axis=1).all():
         return None
-    return Model(
-        both(word, 0, WORD_CELLS, n), stem_n, both(~word, WORD_CELLS, STEM_CELLS, freed),
-        table(word, 0, WORD_CELLS, seen), table(~word, WORD_CELLS, STEM_CELLS, seen),
-    )
+    return Model(key[word], both(word, n), table(word, seen), key[stem], stem_n, both(stem, freed), table(stem, seen))
 
 
 #: Bins of the histogram by which the curve is placed, over values from -SPAN to SPAN.

@@ -311,6 +311,28 @@ def test_toxicity_finds_planted_expressions(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and left.count() == sum(not r.predicted for r in out.values())
 
 
+def test_toxicity_keeps_each_word_apart(spark):
+    """Words of one stem whose hashes agree in their low 20 bits; counts are those of plain Python."""
+    met = {}
+    for i in range(20_000):
+        word = f"stems{i}"
+        got = met.setdefault(int(toxicity.words_of([word.encode()], toxicity.NO_WORD)[0][0]) & 0xFFFFF, word)
+        if got != word:
+            break
+    rows = [(f"{word} plain text {'rare' * (i == 3)}", 1) for i in range(20)] + [(f"{got} plain text", 0) for i in range(20)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    bad, good, new = model.values([word, got, "stemsnew"])
+    assert bad > new > good
+    counts = [Counter(w for t, toxic in rows if toxic == c for w in t.split()) for c in (0, 1)]
+    for w in {*counts[0], *counts[1]}:
+        own, stem, _ = toxicity.hashes([w])
+        at = toxicity.places_in(model.word_keys, own)[0]
+        assert tuple(model.word_n[:, at]) == (tuple(c[w] for c in counts) if w != "rare" else (0, 0))
+        at = toxicity.places_in(model.stem_keys, stem)[0]
+        assert tuple(model.stem_n[:, at]) == tuple(sum(n for x, n in c.items() if x[:5] == w[:5]) for c in counts)
+        assert tuple(model.freed[:, at]) == tuple(sum(min(n, 2) for x, n in c.items() if x[:5] == w[:5]) for c in counts)
+
+
 def test_toxicity_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = toxicity.toxic_scores(spark.read.parquet(f"{sf}/documents.parquet"), labels(spark, sf), **toxicity.default_folds()).where("held_out").join(labels(spark, sf), "doc_id").collect()
