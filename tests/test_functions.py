@@ -176,6 +176,30 @@ def test_first_per_and_title_dedup(spark):
     assert sorted(r.ord for r in dedup.title_date_url_dedup(df, ["ord"]).collect()) == [1, 4]
 
 
+def kept_in_order(rows):
+    urls, titles, out = set(), set(), []
+    for i, url, title, date in sorted(rows, key=lambda r: r[0]):
+        both = ((title or "").strip().lower(), date or "")
+        if url and url not in urls and both not in titles:
+            urls.add(url)
+            titles.add(both)
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 3, 100_000])
+def test_mixed_duplicates_follow_the_sequential_rule(spark, few):
+    rng = random.Random(12)
+    literal = [(1, "A", "T", "d"), (2, "A", "S", "d"), (3, "B", "S", "d")]
+    chain = [(i, f"u{i // 2}", f"t{(i + 1) // 2}", "d") for i in range(12)]
+    mixed = [(i, rng.choice(["u", "v", "w", "x", "y", "z", "", None]), rng.choice(["a", "A ", "b", "c", " c", "e", "f", None]), rng.choice(["d", "e", None])) for i in range(120)]
+    assert kept_in_order(literal) == [1, 3]
+    for rows in (literal, chain, mixed, []):
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "ord long, url string, title string, date string")
+        got = dedup.title_date_url_dedup(df, ["ord"], few=few)
+        assert got.columns == df.columns and sorted(r.ord for r in got.collect()) == kept_in_order(rows)
+
+
 def test_smoothing_and_breaker(spark):
     xs = [0.5, -1.0, 2.0, 0.1, 0.3, 0.7, -0.2]
     past = []
