@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by replaying merges over all distinct pre-tokens at once.
 
-Each worker keeps the pre-tokens it has met. Those new in a slice are laid out in one array
-of symbols; an inverted index leads from each mergeable pair (named by the rank of what it
+The pre-tokens of a whole partition (of blocks of it, where it is large) that the worker does not remember
+are laid out in one array of symbols; an inverted index leads from each mergeable pair (named by the rank of what it
 makes) to the positions where it stands, and a heap gives the ranks in order. A merge visits just its
 positions and looks anew at the two pairs beside each of them. A pair of lower rank that a
 merge brings about comes first again in its own pre-token, as it would if the pre-token
@@ -17,21 +17,31 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
+from itertools import islice
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
-from lectern.llm.arrow import slices, texts
+from lectern.llm.arrow import Ragged, blocks, filled, gap_parts
+from lectern.llm.worker import Remembered, kept, map_arrow
 
-#: Entries of a worker's tables of chunks and of pre-tokens; bounds memory only.
-REMEMBERED = 500_000
+#: Bytes of text whose pre-tokens are indexed together; bounds memory only.
+BLOCK_BYTES = 24_000_000
+#: Rows given at a time.
+OUT_ROWS = 1_000
+#: Places of a pair from which they are merged as arrays.
+MANY = 32
+#: Patterns by which a single gap between other characters starts a pre-token.
+STARTS_AT_GAPS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+#: Gaps that are not single, or beside other white space or a control character, or at an end.
+ODD_GAP = r"^ | $|^$|[\s\p{Z}\p{C}] | [\s\p{Z}\p{C}]"
 
 
 class ByteBpe:
@@ -43,27 +53,66 @@ class ByteBpe:
         with open(ranks_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
+        self.cuts_at_gaps = pattern in STARTS_AT_GAPS
         self.vocab = {i: b for b, i in self.ranks.items()}
-        size = max(self.vocab) + 1
+        size = self.size = max(self.vocab) + 1
         self.starts = np.zeros(size + 1, np.int64)
         self.starts[1:] = np.cumsum([len(self.vocab.get(i, b"")) for i in range(size)])
         self.flat = np.frombuffer(b"".join(self.vocab.get(i, b"") for i in range(size)), np.uint8)
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.first = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
-        self.pair_rank: dict[tuple[int, int], int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, bytes] = {}
+        #: The rank that two neighbours make, by size * left + right.
+        self.pairs: dict[int, int] = {}
+        get = self.ranks.get
+        for token, made in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None:
+                    self.pairs[a * size + b] = made
+        key, made = np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int64)
+        left, right, symbols = key // size, key % size, np.arange(size + 1)
+        #: Of the pairs by left symbol, by right symbol and by what they make: the other column, what they make, where a symbol's begin.
+        self.by_left, self.by_right, self.by_made = (
+            (other[o], made[o], np.searchsorted(one[o], symbols)) for one, other in ((left, right), (right, left), (made, key)) for o in (np.lexsort((other, one)),)
+        )
+        self.memory = Remembered()
         self.decimal = [str(i) for i in range(size)]
 
-    def _rank(self, a: int, b: int) -> int:
-        key = (a, b)
-        found = self.pair_rank.get(key)
-        if found is None:
-            found = self.pair_rank[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
-        return found
+    @staticmethod
+    def _made(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: int, others: np.ndarray) -> np.ndarray:
+        """What ``symbol`` makes with each of ``others``; -1 for nothing."""
+        other, made, start = pairs
+        a, b = start[symbol], start[symbol + 1]
+        if a == b:
+            return np.full(len(others), -1)
+        at = np.minimum(np.searchsorted(other[a:b], others), b - a - 1)
+        return np.where(other[a:b][at] == others, made[a:b][at], -1)
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word, none of them empty."""
+    def _merge_many(self, r: int, places: np.ndarray, sym: np.ndarray, after: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges at the first of ``places`` in each word; gives the ranks of new pairs, with r for places left over, and where they are."""
+        n = len(sym)
+        p = np.unique(places)
+        p = p[after[p] < n]
+        q = after[p]
+        key, _, start = self.by_made
+        own = sym[p].astype(np.int64) * self.size + sym[q]
+        p = p[(own[:, None] == key[start[r] : start[r + 1]]).any(axis=1)]
+        of = word[p]
+        first = np.ones(len(p), bool)
+        first[1:] = of[1:] != of[:-1]
+        rest, p = p[~first], p[first]
+        q = after[p]
+        z = after[q]
+        sym[p], sym[q], after[p] = r, -1, z
+        inside = z < n
+        before[z[inside]] = p[inside]
+        y = before[p]
+        y = y[y >= 0]
+        ranks = np.concatenate([self._made(self.by_left, r, sym[z[inside]]), self._made(self.by_right, r, sym[y]), np.full(len(rest), r)])
+        at = np.concatenate([p[inside], y, rest])
+        return ranks[ranks >= 0], at[ranks >= 0]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, none of them empty, as little-endian unsigned 32-bit numbers."""
         raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         n = len(raw)
         ends = np.cumsum([len(w) for w in words])
@@ -73,25 +122,39 @@ class ByteBpe:
         at = np.flatnonzero(first >= 0)
         at = at[np.argsort(first[at], kind="stable")]
         found, begin = np.unique(first[at], return_index=True)
-        index = dict(zip(found.tolist(), (x.tolist() for x in np.split(at, begin[1:])), strict=False))
-        queue = found.tolist() if n else []
+        index = {r: array("i", x.astype(np.int32).tobytes()) for r, x in zip(found.tolist(), np.split(at, begin[1:]), strict=False)}
+        queue = list(index)
         heapq.heapify(queue)
-        sym = self.byte_ids[raw].tolist()
-        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)).tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for e in ends.tolist():
-            after[e - 1] = n
-        for s in (ends[:-1]).tolist():
-            before[s] = -1
-        rank = self._rank
+        sym = array("i", self.byte_ids[raw].tobytes())
+        word = array("i", np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends, prepend=0)).tobytes())
+        links = np.arange(-1, n, dtype=np.int32)
+        links[ends[:-1]] = -1  # nothing before a word's first symbol
+        before = array("i", links[:n].tobytes())
+        links = np.arange(1, n + 1, dtype=np.int32)
+        links[ends - 1] = n
+        after = array("i", links.tobytes())
+        views = tuple(np.frombuffer(x, np.int32) for x in (sym, after, before, word))
+        size, made = self.size, self.pairs.get
+        push, pop = heapq.heappush, heapq.heappop
         while queue:
-            r = heapq.heappop(queue)
+            r = pop(queue)
+            places = index.pop(r)
+            if len(places) >= MANY:
+                ranks, at = self._merge_many(r, np.frombuffer(places, np.int32), *views)
+                order = np.argsort(ranks, kind="stable")
+                found, begin = np.unique(ranks[order], return_index=True)
+                for new, x in zip(found.tolist(), np.split(at[order], begin[1:]), strict=False):
+                    if new in index:
+                        index[new].frombytes(x.tobytes())
+                    else:
+                        index[new] = array("i", x.tobytes())
+                        push(queue, new)
+                continue
             late: set[int] = set()  # words in which a lower rank has come up
             again = []
-            places = index.pop(r, ())
             for p in sorted(places) if len(places) > 1 else places:
                 q = after[p]
-                if sym[p] < 0 or q >= n or rank(sym[p], sym[q]) != r:
+                if q >= n or made(sym[p] * size + sym[q]) != r:  # a symbol that is gone, -1, has no pair
                     continue
                 if late and word[p] in late:
                     again.append(p)
@@ -100,79 +163,75 @@ class ByteBpe:
                 after[p] = z = after[q]
                 if z < n:
                     before[z] = p
-                    new = rank(r, sym[z])
-                    if new >= 0:
-                        if new in index:
+                    new = made(r * size + sym[z])
+                    if new is not None:
+                        if new == r:
+                            again.append(p)
+                        elif new in index:
                             index[new].append(p)
                         else:
-                            index[new] = [p]
-                            heapq.heappush(queue, new)
+                            index[new] = array("i", (p,))
+                            push(queue, new)
                         if new < r:
                             late.add(word[p])
-                        elif new == r:
-                            again.append(p)
-                            index[r].remove(p)
                 y = before[p]
                 if y >= 0:
-                    new = rank(sym[y], r)
-                    if new >= 0:
-                        if new in index:
+                    new = made(sym[y] * size + r)
+                    if new is not None:
+                        if new == r:
+                            again.append(y)
+                        elif new in index:
                             index[new].append(y)
                         else:
-                            index[new] = [y]
-                            heapq.heappush(queue, new)
+                            index[new] = array("i", (y,))
+                            push(queue, new)
                         if new < r:
-                            late.add(word[p])
+                            late.add(word[y])
             if again:
-                if r in index:
-                    index[r] += again
-                else:
-                    index[r] = again
-                    heapq.heappush(queue, r)
-        out, s = [], 0
-        for e in ends.tolist():
-            out.append(tuple(x for x in sym[s:e] if x >= 0))
-            s = e
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Fills ``self.chunks`` for chunks not met before."""
-        cut = [self.pattern.findall(c) for c in chunks]
-        words = self.words
-        new = [w for w in set().union(*cut) if w not in words]
-        if len(words) + len(new) > REMEMBERED:
-            words.clear()
-            new = list(set().union(*cut))
-        raw = [w.encode() for w in new]
-        whole = [self.ranks.get(b) for b in raw]
-        words.update((w, (i,)) for w, i in zip(new, whole, strict=True) if i is not None)
-        rest = [k for k, i in enumerate(whole) if i is None]
-        words.update(zip((new[k] for k in rest), self.replay([raw[k] for k in rest]) if rest else [], strict=True))
-        for c, parts in zip(chunks, cut, strict=True):
-            ids = [i for w in parts for i in words[w]]
-            self.chunks[c] = pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, bodies: list[str]) -> list[tuple[str, np.ndarray]]:
+                index[r] = array("i", again)
+                push(queue, r)
+        left = np.frombuffer(sym, np.int32)
+        stays = left >= 0
+        flat = left[stays].astype("<u4").tobytes()
+        upto = (np.cumsum(stays)[ends - 1] * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of chunks and of pre-tokens; a chunk is split by the pattern before its pre-tokens are merged."""
+        split = {c: self.pattern.findall(c) for c in chunks if not (c.isalpha() or (c[:1] == " " and c[1:].isalpha()))} if self.cuts_at_gaps else {}
+        words = list(set().union((c for c in chunks if c not in split), *split.values()))
+        raw = [w.encode() for w in words]
+        ids = {w: pack("<I", i) for w, b in zip(words, raw, strict=True) if (i := self.ranks.get(b)) is not None}
+        rest = [k for k, w in enumerate(words) if w not in ids]
+        if rest:
+            ids.update(zip((words[k] for k in rest), self.replay([raw[k] for k in rest]), strict=True))
+        get = ids.__getitem__
+        return (b"".join(map(get, split[c])) if c in split else get(c) for c in chunks)
+
+    def encode(self, bodies: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
         """For each text its ids, as decimals joined by commas and as an array."""
-        cut = []
-        for t in bodies:
-            # At a single gap between other characters the pattern starts anew, gap included.
-            parts = t.split(" ")
-            if "" in parts or any(not (x[0].isprintable() and x[-1].isprintable()) or x[0].isspace() for x in parts):
-                cut.append([t] if t else [])
+        # At a single gap between other characters such a pattern starts anew, gap included; other texts are split whole.
+        odd = pc.match_substring_regex(bodies, ODD_GAP).to_numpy(zero_copy_only=False) if self.cuts_at_gaps else np.ones(len(bodies), bool)
+        parts, codes, edges = gap_parts(bodies.filter(pa.array(~odd)))
+        first: dict[str, int] = {}  # the first part of a text has no gap before it
+        for k in edges[:-1].tolist():
+            codes[k] = len(parts) + first.setdefault(parts[codes[k]], len(first))
+        chunks = [" " + c for c in parts] + list(first)
+        cut = {i: self.pattern.findall(bodies[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        more = list(set().union(*cut.values()) - set(chunks)) if cut else []
+        number = {w: k for k, w in enumerate(chunks + more)} if cut else {}
+        words = chunks + more
+        times = np.bincount(codes, minlength=len(words))
+        times[len(chunks) :] = 2
+        table, regular = Ragged(self.memory.look_up(words, times, self._learn), np.dtype("<u4")), 0
+        for i, whole in enumerate(odd.tolist()):
+            if whole:
+                own = np.array([number[w] for w in cut[i]], np.int64)
             else:
-                cut.append([parts[0], *(" " + x for x in parts[1:])])
-        known, seen = self.chunks, set().union(*cut)
-        new = [c for c in seen if c not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(seen)
-        self._learn(new)
-        get, out = known.__getitem__, []
-        for x in cut:
-            ids = np.frombuffer(b"".join(map(get, x)), "<u4")
-            out.append((",".join(map(self.decimal.__getitem__, ids.tolist())), ids))
-        return out
+                own = codes[edges[regular] : edges[regular + 1]]
+                regular += 1
+            ids = table.of(own)
+            yield ",".join(map(self.decimal.__getitem__, ids.tolist())), ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ``ids`` stand for."""
@@ -184,31 +243,23 @@ class ByteBpe:
         return self.flat[np.arange(to[-1]) + np.repeat(begin - to + size, size)].tobytes()
 
 
-@lru_cache(maxsize=2)
-def codec(ranks_file: str, pattern: str) -> ByteBpe:
-    return ByteBpe(ranks_file, pattern)
-
-
 def encoded(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document, and with ``keep_ids`` the ids themselves."""
     kind = pa.list_(pa.int32())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_file, pattern)
-        for b in slices(batches):
-            found = own.encode(texts(b))
-            columns = [
-                b.column("doc_id"),
-                pa.array([len(i) for _, i in found], pa.int64()),
-                pa.array([sha256(s.encode()).hexdigest() for s, _ in found]),
-                pa.array([sha256(own.decode(i)).hexdigest() for _, i in found]),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array([i.astype(np.int32) for _, i in found], kind))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        own = kept(ByteBpe, ranks_file, pattern)
+        for b in blocks(batches, BLOCK_BYTES):
+            found = own.encode(filled(b))
+            for k in range(0, b.num_rows, OUT_ROWS):
+                rows = [(len(ids), sha256(s.encode()).hexdigest(), sha256(own.decode(ids)).hexdigest(), ids) for s, ids in islice(found, OUT_ROWS)]
+                n, encoded_, decoded, ids = zip(*rows, strict=True)
+                columns = [b.column("doc_id").slice(k, len(rows)), pa.array(n, pa.int64()), pa.array(encoded_), pa.array(decoded)]
+                if keep_ids:
+                    columns.append(pa.array([i.astype(np.int32) for i in ids], kind))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return map_arrow(own, run, schema)
+    return map_arrow(own, run, schema, keeps=True)
