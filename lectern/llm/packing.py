@@ -19,55 +19,101 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from struct import pack
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
-from lectern.llm.arrow import slices, texts
+from lectern.llm.arrow import Ragged, blocks, filled, gap_parts
+from lectern.llm.worker import Remembered, kept, map_arrow
 
-#: Tokens of short documents packed together; words a worker remembers.
-BLOCK_TOKENS, REMEMBERED = 4_000_000, 1_200_000
-#: Separators that str.split knows and the tokenizer's white space does not.
-ODD_GAPS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Tokens of short documents packed together.
+BLOCK_TOKENS = 4_000_000
+#: Bytes of text whose distinct words are encoded together.
+BLOCK_BYTES = 24_000_000
+#: Texts that are not cut at spaces: with what may be a special string, or with combining characters after a space.
+ODD = r"<\|| [\p{M}]|[\x1c-\x1f]"
+#: Marks between new words, the first that does is used; marks that end words; words encoded in one text.
+MARKS, ENDS, TOGETHER = ("|", "~", "^", "="), ".,;:!?()#%$&*", 500
 
 
 class WordTokenizer:
-    """A tokenizers model that drops white space, run once for each distinct word."""
+    """A tokenizers model that drops white space, run once for each distinct word.
+
+    New words are encoded many in one text, parted by a mark that always is one id of its own.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
-        self.known: dict[str, bytes] = {}
+        self.memory = Remembered()
+        self.mark, self.mark_id = None, -1
+        for mark in MARKS:
+            ids = self._ids(f"a {mark} b {mark} .")
+            own = self._ids(mark)
+            if len(own) == 1 and ids == self._ids("a") + own + self._ids("b") + own + self._ids("."):
+                self.mark, self.mark_id = mark, own[0]
+                break
+        # Whether a letter or digit and a mark after it are never in one token.
+        self.parts_ends = all(self._ids(x + e) == self._ids(x) + self._ids(e) for x in ("ab", "7", "é") for e in (*ENDS, "..", "),"))
+
+        self.lowers = self._ids("ABCXYZ Qu") == self._ids("abcxyz qu")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
 
     def _encode(self, bodies: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(bodies, add_special_tokens=False)
         return [pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def encode(self, bodies: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        whole = [any(c in t for c in ODD_GAPS) for t in bodies]
-        cut = [[] if w else t.split() for t, w in zip(bodies, whole, strict=True)]
-        known, seen = self.known, set().union(*cut)
-        new = [w for w in seen if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {w: known[w] for w in seen if w in known}
-        known.update(zip(new, self._encode(new), strict=True))
-        get = known.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(get, x)) for t, w, x in zip(bodies, whole, cut, strict=True)]
-
-
-@lru_cache(maxsize=2)
-def tokenizer(file: str) -> WordTokenizer:
-    return WordTokenizer(file)
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return self._encode(words)
+        out: list[bytes] = []
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            [found] = self.model.encode_batch_fast([f" {self.mark} ".join(own)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            if len(ends) != len(own) - 1:  # a word has the mark's id
+                out += self._encode(own)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, marks at its end apart from what is before them."""
+        if not self.parts_ends:
+            return self._encode_words(words)
+        cores = [w.rstrip(ENDS) for w in words]
+        cores = [c if c and c[-1].isalnum() else w for c, w in zip(cores, words, strict=True)]
+        if self.lowers:
+            cores = [c.lower() if c.isascii() else c for c in cores]
+        tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]  # lower case changes no length here
+        found = {w: self.memory.known.get(w) for w in {*cores, *tails}}
+        single = [w for w, ids in found.items() if ids is None]
+        found.update(zip(single, self._encode_words(single), strict=True))
+        return [found[c] + found[t] if t else found[c] for c, t in zip(cores, tails, strict=True)]
+
+    def encode(self, bodies: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        odd = pc.match_substring_regex(bodies, ODD).to_numpy(zero_copy_only=False)
+        parts, codes, edges = gap_parts(pc.replace_substring(bodies.filter(pa.array(~odd)), "\n", " "))
+        table, regular = Ragged(self.memory.look_up(parts, np.bincount(codes, minlength=len(parts)), self._learn), np.dtype("<u4")), 0
+        for i, whole in enumerate(odd.tolist()):
+            if whole:
+                yield np.array(self._ids(bodies[i].as_py()), "<u4")
+            else:
+                yield table.of(codes[edges[regular] : edges[regular + 1]])
+                regular += 1
 
 
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -152,7 +198,7 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def packed(
     docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 2, linear: float = 1.0, quadratic: float = 1.0 / 4096,
-    text: str = "text", doc_id: str = "doc_id", make: Callable[[str], WordTokenizer] = tokenizer,
+    text: str = "text", doc_id: str = "doc_id", make: Callable[[str], WordTokenizer] = WordTokenizer,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     schema = pa.schema([(n, pa.int64()) for n in NAMES])
@@ -161,17 +207,17 @@ def packed(
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = make(tokenizer_file)
+        own = kept(make, tokenizer_file)
         packer = Packer(capacity, linear, quadratic, TaskContext.get().partitionId() << 40)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        end = np.array([end_id], "<u4")
+        for b in blocks(batches, BLOCK_BYTES):
             rows = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), own.encode(texts(b)), strict=True):
-                rows += packer.add(d, np.frombuffer(ids + end, "<u4"))
+            for d, ids in zip(b.column("doc_id").to_pylist(), own.encode(filled(b)), strict=True):
+                rows += packer.add(d, np.concatenate([ids, end]))
             if rows:
                 yield table(rows)
         if rows := list(packer.flush(last=True)):
             yield table(rows)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(own, run, ", ".join(f"{n} long" for n in NAMES))
+    return map_arrow(own, run, ", ".join(f"{n} long" for n in NAMES), keeps=True)

@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
-from lectern.llm.arrow import slices, texts
+from lectern.llm.arrow import blocks, filled, gap_parts
+from lectern.llm.worker import Remembered, kept, map_arrow
 
 MARK = "▁"
-#: Symbols from which a sequence is merged alone; elements of a rectangle; pre-tokens a worker remembers.
-LONG, RECTANGLE, REMEMBERED = 400, 1_000_000, 1_000_000
+#: Symbols from which a sequence is merged alone; elements of a rectangle.
+LONG, RECTANGLE = 400, 1_000_000
 NONE = np.int64(1) << 40
+#: Bytes of text whose distinct words are merged together; gaps that are not single, or at the start, and marks.
+BLOCK_BYTES, ODD_GAP = 24_000_000, f"^$|^ |  |{MARK}"
 
 
 class PieceCounter:
@@ -71,7 +72,7 @@ class PieceCounter:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-        self.known: dict[str, int] = {}
+        self.memory = Remembered()
 
     def _symbols(self, word: str) -> list[int]:
         last = self.width - 6
@@ -148,42 +149,35 @@ class PieceCounter:
                 self._rectangle(np.array([self._symbols(words[i]) for i in own[k : k + step]], np.int64), out, rows)
         return out.tolist()
 
-    def count(self, bodies: list[str]) -> list[int]:
+    def count(self, bodies: pa.Array) -> np.ndarray:
         """The counts of whole texts."""
-        cut = []
-        for t in bodies:
-            if not t:
-                cut.append([])
-            elif not self.splits:
-                cut.append([MARK + (MARK + t).replace(" ", MARK)])
-            elif t[0] == " " or "  " in t or MARK in t:
-                cut.append([MARK + x for x in re.findall(f"{MARK}+[^{MARK}]*", (MARK + t).replace(" ", MARK))])
-            else:  # between single gaps, a word stands for itself and the mark before it
-                cut.append(t.split(" "))
-        known, seen = self.known, set().union(*cut)
-        new = [w for w in seen if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {w: known[w] for w in seen if w in known}
-        # An own mark in front tells a whole pre-token from a bare word.
-        known.update(zip(new, self.count_words([w[1:] if w[:1] == MARK else MARK + w for w in new]), strict=True))
-        get = known.__getitem__
-        return [sum(map(get, x)) for x in cut]
-
-
-@lru_cache(maxsize=2)
-def counter(model_file: str) -> PieceCounter:
-    return PieceCounter(model_file)
+        # Between single gaps a word stands for itself and the mark before it.
+        odd = pc.match_substring_regex(bodies, ODD_GAP).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(bodies), bool)
+        parts, codes, edges = gap_parts(bodies.filter(pa.array(~odd)))
+        words = [MARK + w for w in parts]
+        marked = [(MARK + t).replace(" ", MARK) if t else "" for t in bodies.filter(pa.array(odd)).to_pylist()]
+        cut = [re.findall(f"{MARK}+[^{MARK}]*", t) if self.splits else [t] * bool(t) for t in marked]
+        words += (more := list(set().union(*cut) - set(words)))
+        times = np.bincount(codes, minlength=len(words))
+        times[len(words) - len(more) :] = 2
+        n = np.array(self.memory.look_up(words, times, self.count_words), np.int64)
+        sums = np.concatenate([[0], np.cumsum(n[codes])])
+        out = np.zeros(len(bodies), np.int64)
+        out[~odd] = sums[edges[1:]] - sums[edges[:-1]]
+        known = dict(zip(words, n.tolist(), strict=True)) if cut else {}
+        out[odd] = [sum(known[w] for w in x) for x in cut]
+        return out
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(model_file)
-        for b in slices(batches):
+        own = kept(PieceCounter, model_file)
+        for b in blocks(batches, BLOCK_BYTES):
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
-            n = pa.array(own.count(texts(b)), pa.int64())
+            n = pa.array(own.count(filled(b)), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(own, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(own, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)
