@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lectern.functions.shipping import map_arrow
 from lectern.llm.arrow import gathered, slices
 from lectern.llm.common import written
 from lectern.llm.wordhash import POWERS, mix
+from lectern.llm.worker import map_arrow
 
 #: Symbols and bytes handled at a time; low bits of a key that hold a place; classes of an anchor that is not split.
 SEGMENT, SCAN_BYTES, PLACE_BITS, MANY = 2_000_000, 1_500_000, 24, 20_000

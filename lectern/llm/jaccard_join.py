@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
 from lectern.llm.anchors import NO_ID
 from lectern.llm.arrow import gathered, slices, texts
 from lectern.llm.common import written
 from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
+from lectern.llm.worker import map_arrow
 
 #: Bytes of text a slice; ratio of a band's bounds; rounds in which a member's nearest are tested before all are, and how many.
 SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 1

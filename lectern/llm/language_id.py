@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
 from lectern.llm.arrow import slices, texts
+from lectern.llm.worker import map_arrow
 
 EDGE, SHIFT = 1, 21
 

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow
 from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
 from lectern.llm.wordhash import words_of
+from lectern.llm.worker import map_arrow
 
 #: Words of an anchor; words of a shard, exceeded only by passages of one anchor.
 GRAM, SHARD = 6, 40_000

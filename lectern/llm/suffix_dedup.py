@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.functions.shipping import map_arrow
 from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
 from lectern.llm.wordhash import BYTE
+from lectern.llm.worker import map_arrow
 
 #: Bytes of an anchor; bytes of a shard, exceeded only by snippets of one anchor.
 GRAM, SHARD = 32, 1_000_000

@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.shipping import map_arrow, ship
+from lectern.functions.shipping import ship
 from lectern.llm.arrow import slices, texts
 from lectern.llm.common import fold, joined_to_labels
 from lectern.llm.wordhash import GAP, words_of
+from lectern.llm.worker import map_arrow
 
 #: Bytes of a stem; absolute discount of class counts; share of toxic expressions in a toxic text.
 STEM_BYTES, DISCOUNT, SHARE = 5, 2, 0.003
