@@ -37,8 +37,8 @@ SEGMENT, SCAN_BYTES, PLACE_BITS, MANY = 2_000_000, 1_500_000, 24, 20_000
 #: Window places of a block of a split anchor; rows gathered of sorted batches.
 BLOCK, GATHER = 8, 200_000
 PLACES = np.uint64((1 << PLACE_BITS) - 1)
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
+#: Longest window: a place's fields hold it, and sums of powers tell so many symbols apart, whatever their order.
+LONGEST = 500
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,10 @@ class Windows:
     within: bool
     many: int = MANY
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.length <= LONGEST:
+            raise ValueError(f"a window has from {self.gram} to {LONGEST} symbols, not {self.length}")
+
     @property
     def span(self) -> int:
         return self.length - self.gram + 1
@@ -103,12 +107,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def _pack(first: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return anchor << 16 | (anchor - first) << 8 | (anchor - last)
+    return anchor << 20 | (anchor - first) << 10 | (anchor - last)
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    anchor = at >> 16
-    return anchor - (at >> 8 & 255), anchor, anchor - (at & 255)
+    anchor = at >> 20
+    return anchor - (at >> 10 & 1023), anchor, anchor - (at & 1023)
 
 
 def settled(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -263,18 +267,12 @@ def snippets(open_: DataFrame, symbols: Callable, spec: Windows, cut: Callable,
     return found.repartition("key").sortWithinPartitions("key", "doc", "start")
 
 
-def named(docs: DataFrame, text: str, doc_id: str, carried: list[str] | None = None) -> DataFrame:
-    """(doc, text) without nulls, and where asked for the struct ``carried`` of other columns."""
-    more = [F.struct(*(F.col(c) for c in carried)).alias("carried")] if carried else []
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
-
-
-def removed_ranges(docs: DataFrame, symbols: Callable, spec: Windows, resolve: Callable[[DataFrame], DataFrame], text: str, doc_id: str) -> DataFrame:
-    """(doc, ranges) of all symbols to remove; documents without any are missing.
+def removed_ranges(own: DataFrame, symbols: Callable, spec: Windows, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, ranges) of all symbols to remove from own(doc, text); documents without any are missing.
 
     ``resolve`` gets (doc, text, refs) of references left open, and gives (doc, start, end).
     """
-    own = named(docs, text, doc_id)
+    own = own.select("doc", "text")
     found = written(references(anchor_rows(own, symbols, spec), spec))
     gone = found.where("how = 0").select("doc", "start", "end")
     refs = found.where("how > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "key", "anchor", "how")).alias("refs"))

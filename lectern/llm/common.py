@@ -24,9 +24,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where that is unset a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the shared folder and must be set on a cluster")
         found = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/lectern-{uuid.uuid4().hex}"
@@ -40,6 +42,20 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carried: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, text) of every row, and where asked for the struct ``carried`` of other columns; whether ``doc`` is the doc_id.
+
+    ``doc`` is a row's own number and follows the order of doc_ids, null first. Where doc_ids are unique and none is null, it is
+    the doc_id. Otherwise rows are numbered by doc_id and text and written, so that numbers stay as they are.
+    """
+    more = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+    if own.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return own.withColumn("doc", F.col("doc_id")), True
+    dealt = own.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return written(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").withColumn("doc", F.monotonically_increasing_id())), False
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``folds``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,8 +19,8 @@ is in one component already or proven apart, so components are those of all link
 as one node, copies in a task are merged before anything moves.
 
 Edge cases: a text with fewer words than a shingle is one shingle; without words or null it has none
-and links with nothing; repeated rows count each, rows that share a doc_id fall into one component;
-other columns are ignored; empty tables give no rows.
+and links with nothing; rows that share a doc_id or have none are documents of their own, and a component is named by its
+smallest doc_id, null being the smallest; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.anchors import NO_ID
 from lectern.llm.arrow import gathered, slices, texts
-from lectern.llm.common import written
+from lectern.llm.common import identified, written
 from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
 from lectern.llm.worker import map_arrow
@@ -312,21 +311,33 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every document: sets link at ``percent`` per cent Jaccard similarity or more."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+    own, same = identified(docs, text, doc_id)
+    rows = near_rows(own, shingle, percent)
+    if same:
+        return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    ids = own.select("doc", "doc_id")
+    rows = rows.join(ids.select("doc", "doc_id").hint("merge"), "doc")
+    rows = rows.join(ids.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id")).hint("merge"), "component")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_rows(own: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc, n, component) of every row of own(doc, text), ``doc`` being its own: the size of its set, the smallest doc reachable by links."""
+    own = own.select("doc", "text")
     known = written(profiles(own, shingle))
     names = known.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     names = names.select(F.xxhash64("n", "s1", "s2").alias("name"), "n", "s1", "s2", "rep")
     # On name and parts, so both sides are dealt anew and a hot set's documents can be split over tasks.
     full = known.where("n > 0").withColumn("name", F.xxhash64("n", "s1", "s2")).join(names.hint("merge"), ["name", "n", "s1", "s2"])
     nodes = written(full.select("doc", "rep", "n"))
-    of_doc = nodes.groupBy("doc").agg(F.min("rep").alias("rep"))
+    of_doc = nodes.select("doc", "rep")
 
     links = written(bucket_links(own, shingle, percent))
     first = links.select("doc", "lead").distinct()
     first = first.join(of_doc, "doc").select("lead", F.col("rep").alias("x")).join(of_doc.select(F.col("doc").alias("lead"), F.col("rep").alias("y")), "lead")
     pairs = written(_ordered(first, "x", "y"))
     need = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = written(set_table(own, need, shingle, percent).dropDuplicates(["doc"]))
+    sets = written(set_table(own, need, shingle, percent))
     pairs = written(passing(pairs, sets, "sketch", near_enough, percent))
     edges = written(linked(pairs, sets, percent))
     label = components(edges)
@@ -349,7 +360,5 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
             edges = edges.unionByName(found)
             label = components(edges)
 
-    rows = nodes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = rows.unionByName(known.where("n = 0").select("doc", "n", F.col("doc").alias("component_id")))
-    name = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return rows.select(name("doc").alias("doc_id"), F.col("n").alias("n_shingles"), name("component_id").alias("component_id"))
+    rows = nodes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
+    return rows.unionByName(known.where("n = 0").select("doc", "n", F.col("doc").alias("component")))

@@ -8,8 +8,8 @@ one Aho-Corasick automaton, a window's value being the smallest document that ha
 passages through it: every occurrence in a document larger than that value is marked.
 
 Edge cases: null texts have no words; texts of fewer than ``length`` words stay whole; repeats within one
-document stay; rows that share a doc_id (or have none) count as one document's texts and lose the ranges of
-all of them, as far as each reaches; other columns are ignored; empty tables give no rows.
+document stay; rows that share a doc_id (or have none, which comes first) are documents of their own, in the order of the
+hashes of their texts; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
+from lectern.llm.anchors import MANY, Windows, merged, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
+from lectern.llm.common import identified
 from lectern.llm.wordhash import words_of
 from lectern.llm.worker import map_arrow
 
@@ -99,8 +100,9 @@ def resolver(spec: Windows):
 def phrase_free(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, many: int = MANY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, and with ``keep_text`` kept_text, the words left joined by spaces."""
     spec = Windows(length, min(GRAM, length), within=False, many=many)
-    own, ranges = named(docs, text, doc_id), removed_ranges(docs, word_symbols, spec, resolver(spec), text, doc_id)
-    names = ["doc", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    own, _ = identified(docs, text, doc_id)
+    ranges = removed_ranges(own, word_symbols, spec, resolver(spec))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -115,8 +117,7 @@ def phrase_free(docs: DataFrame, length: int = 13, text: str = "text", doc_id: s
                 rest = b" ".join(kept)
                 row = (len(words), len(words) - len(kept), sha256(rest).hexdigest())
                 rows.append((*row, rest.decode()) if keep_text else row)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))], names)
 
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = map_arrow(own.hint("merge").join(ranges, "doc", "left"), run, schema)
-    return out.select(F.when(F.col("doc") != F.lit(NO_ID), F.col("doc")).alias("doc_id"), *names[1:])
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    return map_arrow(own.hint("merge").join(ranges, "doc", "left"), run, schema)

@@ -11,8 +11,8 @@ found takes no further part, and the expansion stops at ``length``. What then st
 sets of suffixes that share a string of ``length`` bytes; all but the earliest of each go.
 
 Edge cases: null counts as empty; texts shorter than ``length`` stay whole; rows that share a doc_id
-(or have none) count as one document's texts and lose the ranges of all of them, as far as each reaches; other
-columns are ignored; empty tables give no rows.
+(or have none, which comes first) are documents of their own, in the order of the hashes of their texts; other
+columns are ignored; empty tables give no rows; a ``length`` over 500 is refused.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.llm.anchors import MANY, NO_ID, Windows, merged, named, range_arrays, removed_ranges, snippets
+from lectern.llm.anchors import MANY, Windows, merged, range_arrays, removed_ranges, snippets
 from lectern.llm.arrow import gathered, slices
+from lectern.llm.common import identified
 from lectern.llm.wordhash import BYTE
 from lectern.llm.worker import map_arrow
 
@@ -99,7 +100,7 @@ def later_equals(rows: list[tuple[int, int, bytes]], length: int) -> tuple[np.nd
     by = np.lexsort((start, doc, g))
     same = np.zeros(len(by), bool)
     same[1:] = g[by][1:] == g[by][:-1]
-    # One window may be there twice, through rows that share a doc_id: then neither is earlier.
+    # One window may be there twice, in snippets that overlap: then neither is earlier.
     first = np.maximum.accumulate(np.where(~same, np.arange(len(by)), 0))
     gone = by[same & ((doc[by] != doc[by][first]) | (start[by] != start[by][first]))]
     return doc[gone], start[gone]
@@ -143,14 +144,14 @@ def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     With ``keep_text`` kept_text, without characters that lost a byte; with ``carried`` a struct of those columns.
     """
     spec = Windows(length, min(GRAM, length), within=True, many=many)
-    own, ranges = named(docs, text, doc_id, carried), removed_ranges(docs, byte_symbols, spec, resolver(spec), text, doc_id)
+    own, _ = identified(docs, text, doc_id, carried)
+    ranges = removed_ranges(own, byte_symbols, spec, resolver(spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for t, (start, end) in zip(b.column("text").to_pylist(), range_arrays(b), strict=True):
                 raw = t.encode()
-                start, end = start[start < len(raw)], np.minimum(end, len(raw))[start < len(raw)]
                 kept, at = [], 0
                 for s, e in zip(start.tolist(), end.tolist(), strict=True):
                     kept.append(raw[at:s])
@@ -159,12 +160,11 @@ def substring_free(docs: DataFrame, length: int = 100, text: str = "text", doc_i
                 rest = b"".join(kept)
                 row = (len(raw), len(raw) - len(rest), len(start), sha256(rest).hexdigest())
                 rows.append((*row, b"".join(k.decode(errors="ignore").encode() for k in kept).decode()) if keep_text else row)
-            columns = [b.column("doc"), *(pa.array(c) for c in zip(*rows, strict=True))]
+            columns = [b.column("doc_id"), *(pa.array(c) for c in zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays(columns + ([b.column("carried")] if carried else []), names)
 
-    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + ["carried"] * bool(carried)
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + ["carried"] * bool(carried)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     if carried:
         schema = StructType(StructType.fromDDL(schema).fields + [own.schema["carried"]])
-    out = map_arrow(own.hint("merge").join(ranges, "doc", "left"), run, schema)
-    return out.select(F.when(F.col("doc") != F.lit(NO_ID), F.col("doc")).alias("doc_id"), *names[1:])
+    return map_arrow(own.hint("merge").join(ranges, "doc", "left"), run, schema)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import anchors, byte_bpe, exact_dedup, jaccard_join, language_id, packing, phrase_dedup, quality, suffix_dedup, token_counts, toxicity
+from lectern.llm import anchors, byte_bpe, exact_dedup, jaccard_join, language_id, packing, phrase_dedup, quality, suffix_dedup, token_counts, toxicity, wordhash
 from lectern.llm.common import fold, labels, written
 from lectern.llm.components import components
 
@@ -372,6 +372,53 @@ def test_edges(spark, name):
     assert OPERATORS[name](spark, spark.createDataFrame([], clashing)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_equal_sums_of_powers_differ(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart, alone and as bytes of a window."""
+    for n in (1024, 2048, 4096):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        texts = [(i, " ".join(f"{w}{k}" if k != 5 else w for k in range(20)).replace(w, w)) for i, w in enumerate((word, other))]
+        assert len(set(wordhash.words_of([word.encode(), other.encode()])[0].tolist())) == 2
+        assert [r.n_removed for r in phrase_dedup.phrase_free(frame(spark, texts), 13).collect()] == [0, 0]
+        assert {r.component_id for r in jaccard_join.near_groups(frame(spark, texts), 4, 85).collect()} == {0, 1}
+        expected = brute_bytes(texts, 100)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.substring_free(frame(spark, texts), 100).collect()} == expected
+
+
+def test_word_hashes_do_not_depend_on_neighbours():
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abcé漢") for _ in range(rng.choice([1, 3, 7, 8, 9, 17, 255, 256, 257, 600]))) for _ in range(300)})
+    alone = [int(wordhash.words_of([w.encode()])[0][0]) for w in words]
+    assert wordhash.words_of([" \n ".join(words).encode()])[0].tolist() == alone and len(set(alone)) == len(words)
+    stems = wordhash.words_of([" ".join(words).encode()], wordhash.GAP, 5)[0].tolist()
+    assert stems == [int(wordhash.words_of([w.encode()[:5]])[0][0]) for w in words]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(9)
+    unique, shared, other = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(80)) for c in "usx")
+    rows = [(9, shared), (9, unique), (None, other), (None, other + " tail"), (3, shared), (12, unique + " end")]
+    cut = Counter((r.doc_id, r.n_words, r.n_removed) for r in phrase_dedup.phrase_free(frame(spark, rows), 13).collect())
+    assert cut[(9, 80, 80)] == 1 and cut[(9, 80, 0)] == 1 and cut[(3, 80, 0)] == 1 and cut[(12, 81, 80)] == 1
+    assert sum(n for (d, _, gone), n in cut.items() if d is None and gone == 80) == 1 and sum(cut.values()) == 6
+    out = Counter((r.doc_id, r.kept_text in (unique, shared, other, other + " tail")) for r in suffix_dedup.substring_free(frame(spark, rows), 100).collect())
+    assert out == {(9, True): 1, (9, False): 1, (None, True): 1, (None, False): 1, (3, True): 1, (12, False): 1}
+    found = Counter((r.doc_id, r.component_id) for r in jaccard_join.near_groups(frame(spark, rows), 4, 85).collect())
+    assert found == {(3, 3): 1, (9, 3): 1, (9, 9): 1, (12, 9): 1, (None, None): 2}
+
+
+def test_windows_too_long_are_refused(spark):
+    texts = messy(4, 20)
+    for length in (320, 500):
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.substring_free(frame(spark, texts), length).collect()} == brute_bytes(texts, length)
+    with pytest.raises(ValueError, match="501"):
+        suffix_dedup.substring_free(frame(spark, texts), 501)
+
+
 def test_packing_edges(spark):
     rows = spark.createDataFrame([(None, None, None, None, None), (1, "a", "en", "s", 1), (1, "a", "en", "s", 1)], SCHEMA)
     file = public_tokenizers.path("word_bpe_49k.json")

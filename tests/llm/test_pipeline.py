@@ -57,4 +57,23 @@ def test_stages_take_odd_rows(spark, sf_dir):
             if name != "packing":
                 assert out.columns == COLUMNS
     kept = corpus_pipeline.exact_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [1, 1, 2, 3, 4]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [1, 2, 3, 4]
+
+
+def test_stages_take_clashing_columns(spark, sf_dir):
+    """Columns named as those the stages use inside pass as they are; of rows that share a doc_id the right one goes."""
+    names = ["own_hash", "stay_id", "doc", "key", "carried", "component", "kept", "text_sha256", "ranges", "score", "toxic", "n"]
+    schema = SCHEMA + "".join(f", {n} string" for n in names)
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, (d, t) in enumerate(rows)], schema)
+    expected = {"toxicity": [0, 1, 2, 3, 4, 5], "exact_dedup": [1, 2, 3, 5], "near_duplicates": [0, 2, 4, 5], "substring_dedup": [0, 1, 2, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert sorted(int(r.own_hash[8:]) for r in kept) == expected[name], name
+        for r in kept:
+            i = int(r.own_hash[8:])
+            assert all(r[n] == f"{n}{i}" for n in names) and r.doc_id == rows[i][0]
+    assert corpus_pipeline.packing(spark, docs, sf_dir).count() >= 6
