@@ -1,7 +1,8 @@
 """The training-data pipeline: toxic texts out, copies out, near copies out, repeated passages out, packed.
 
 Every stage works on all rows its predecessor kept and, but for the last, gives the columns of
-``documents``. Rows, not just doc_ids, are told apart where a doc_id occurs twice or is null.
+``documents``. Rows that share a doc_id or have none are documents of their own. Null texts count as empty, and leave the
+substring stage as empty ones; of documents without a word one stays each. Empty tables give no rows; other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, labels, written
+from lectern.llm.common import documents, identified, labels, written
 from lectern.llm.exact_dedup import exact_groups
-from lectern.llm.jaccard_join import near_groups
+from lectern.llm.jaccard_join import near_rows
 from lectern.llm.packing import packed
 from lectern.llm.suffix_dedup import substring_free
 from lectern.llm.toxicity import default_folds, without_toxic
@@ -28,26 +29,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, labels(spark, sf_dir), **default_folds())
 
 
+def staying(own: DataFrame, stays: DataFrame) -> DataFrame:
+    """The carried columns of the rows of ``own`` whose number is in stays(doc)."""
+    return own.join(stays.select("doc").hint("merge"), "doc", "left_semi").select("carried.*")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    stays = exact_groups(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.unhex("text_sha256").alias("stay_hash")).distinct()
-    own = docs.withColumn("own_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    hit = own.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi")
-    return hit.select(*docs.columns)
+    """Of equal texts the row with the largest doc_id, one of them where that occurs twice."""
+    own, _ = identified(docs, carried=docs.columns)
+    return staying(own, exact_groups(own, doc_id="doc").where("kept").select(F.col("doc_id").alias("doc")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, linked directly or through others, the document with the smallest doc_id."""
-    groups = near_groups(docs, SHINGLE, SIMILAR)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    """Of near copies, linked directly or through others, the row with the smallest doc_id, the first of them where that occurs twice."""
+    own, _ = identified(docs, carried=docs.columns)
+    return staying(own, near_rows(own, SHINGLE, SIMILAR).where("doc = component"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one (or itself, earlier) has."""
     cut = substring_free(docs, PASSAGE, keep_text=True, carried=docs.columns)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(new.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return cut.select(*((new[c] if c in new else F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
