@@ -6,7 +6,7 @@ discounted mass goes to a backoff that both classes share, made of continuation
 how many texts a word was seen, however often in each), so a rare expression, seen too
 seldom in a class, is judged by what the classes have in common, and a new word of a known stem
 by its stem. Toxic texts are ordinary texts with a small share of toxic expressions: their likelihood of a word is
-the mixture of both models by ``SHARE``. A text's value is the mean over its words of the
+the mixture of both models by that share, the one of ``SHARES`` that parts a fold best. A text's value is the mean over its words of the
 difference of the two log-likelihoods; a logistic curve, put where it parts the classes of a fold of
 the learning rows that gave no counts, turns it into a score.
 
@@ -32,16 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.shipping import ship
-from lectern.llm.arrow import slices, texts
+from lectern.llm.arrow import gathered, slices, texts
 from lectern.llm.common import fold, joined_to_labels
 from lectern.llm.wordhash import GAP, words_of
 from lectern.llm.worker import map_arrow
 
-#: Bytes of a stem; absolute discount of class counts; share of toxic expressions in a toxic text.
-STEM_BYTES, DISCOUNT, SHARE = 5, 2, 0.003
+#: Bytes of a stem; absolute discount of class counts.
+STEM_BYTES, DISCOUNT = 5, 2
+#: Shares of toxic expressions in a toxic text that are tried.
+SHARES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1)
 #: Words end at ASCII bytes that are neither letters nor digits.
 NO_WORD = GAP | np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-LOW, GATHERED = (1 << 32) - 1, 500_000
+GATHERED = 500_000
 
 
 def hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +63,12 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, *out
 
 
+def summed_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each is there, and the sums of their values."""
+    found, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    return found, n, np.bincount(at, value, len(found))
+
+
 def places_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each of ``wanted`` is in the sorted ``keys``; their number where it isn't."""
     at = np.searchsorted(keys, wanted)
@@ -81,6 +89,7 @@ class Model:
     stem_n: np.ndarray
     freed: np.ndarray
     stem_texts: np.ndarray
+    share: float = SHARES[2]
     cut: float = 0.0
     steep: float = 0.0
     ordinary: float = 0.0
@@ -89,9 +98,8 @@ class Model:
         base = (self.stem_texts + 1) / (self.stem_texts.sum() + len(self.stem_texts))
         self.stem_p = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * base) / n.sum() for n in self.stem_n]
 
-    def values(self, bodies: list[str]) -> np.ndarray:
-        """The mean log-likelihood difference of each text; NaN without words."""
-        word, stem, counts = hashes(bodies)
+    def ratios(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """Of words by their hashes and those of their stems, the toxic over the ordinary likelihood."""
         word, stem = places_in(self.word_keys, word), places_in(self.stem_keys, stem)
         shared, p = (self.word_texts[word] + 0.1) / (self.stem_texts[stem] + 1), []
         for c in (0, 1):
@@ -99,9 +107,16 @@ class Model:
             # Relative to the shared backoff, which both classes have as a factor.
             ending = (np.maximum(self.word_n[c][word] - DISCOUNT, 0) / shared + self.freed[c][stem]) / np.maximum(n, 1)
             p.append(self.stem_p[c][stem] * np.where(n > 0, ending, 1))
-        sums = np.concatenate([[0.0], np.cumsum(np.log(1 - SHARE + SHARE * p[1] / p[0]))])
-        ends = np.cumsum(counts)
-        return np.where(counts > 0, (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1), np.nan)
+        return p[1] / p[0]
+
+    def values(self, bodies: list[str], shares: tuple[float, ...] | None = None) -> np.ndarray:
+        """The mean log-likelihood difference of each text, NaN without words; with ``shares`` a row for each of them."""
+        word, stem, counts = hashes(bodies)
+        ratio, ends, out = self.ratios(word, stem), np.cumsum(counts), []
+        for share in shares or (self.share,):
+            sums = np.concatenate([[0.0], np.cumsum(np.log(1 - share + share * ratio))])
+            out.append(np.where(counts > 0, (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1), np.nan))
+        return np.stack(out) if shares else out[0]
 
     def scores(self, bodies: list[str]) -> np.ndarray:
         x = self.values(bodies)
@@ -109,8 +124,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.steep * (x - self.cut), -500, 500)))
 
 
+COUNTS = ("plain", "toxic", "texts")
+
+
 def word_counts(train: DataFrame) -> DataFrame:
-    """(stem, word, n, texts) of train(text, toxic): hashes; occurrences, toxic ones times 2**32; texts with the word."""
+    """(stem, word, plain, toxic, texts) of train(text, toxic): hashes; occurrences in both classes; texts with the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -119,93 +137,91 @@ def word_counts(train: DataFrame) -> DataFrame:
             order = np.lexsort((text, word))
             first = np.append(True, np.diff(word[order]) != 0)[: len(word)]
             new = (first | (np.diff(text[order], prepend=-1) != 0)).astype(np.int64)
-            one = np.where(np.repeat(b.column("toxic").to_numpy(zero_copy_only=False) == 1, counts), 1 << 32, 1)[order]
+            toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False) == 1, counts)[order].astype(np.int64)
             at = np.flatnonzero(first)
             if len(at):
-                parts = [stem[order][at], word[order][at], np.add.reduceat(one, at), np.add.reduceat(new, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["stem", "word", "n", "texts"])
+                parts = [stem[order][at], word[order][at], *(np.add.reduceat(x, at) for x in (1 - toxic, toxic, new))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["stem", "word", *COUNTS])
 
-    rows = map_arrow(train.select("text", "toxic"), run, "stem long, word long, n long, texts long")
-    return rows.groupBy("stem", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    rows = map_arrow(train.select("text", "toxic"), run, "stem long, word long, plain long, toxic long, texts long")
+    return rows.groupBy("stem", "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def table_rows(counts: DataFrame) -> DataFrame:
-    """(is_word, key, n, texts, freed): words with more than ``DISCOUNT`` occurrences in a class, and all stems."""
+    """(is_word, key, plain, toxic, texts, freed_plain, freed_toxic): words with more than ``DISCOUNT`` occurrences in a class, and all stems."""
+    names = ["is_word", "key", *COUNTS, "freed_plain", "freed_toxic"]
 
-    def rows(stem: np.ndarray, word: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-        freed = np.minimum(n & LOW, DISCOUNT) + (np.minimum(n >> 32, DISCOUNT) << 32)
-        own = np.maximum(n & LOW, n >> 32) > DISCOUNT
-        words, stems = (word[own], n[own], seen[own], freed[own]), summed(stem, n, seen, freed)
+    def rows(stem: np.ndarray, word: np.ndarray, *n: np.ndarray) -> pa.RecordBatch:
+        values = [*n, np.minimum(n[0], DISCOUNT), np.minimum(n[1], DISCOUNT)]
+        own = np.maximum(n[0], n[1]) > DISCOUNT
+        words, stems = [word[own], *(x[own] for x in values)], summed(stem, *values)
         kind = np.repeat([True, False], [len(words[0]), len(stems[0])])
-        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x)) for x in zip(words, stems, strict=True))], ["is_word", "key", "n", "texts", "freed"])
+        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x)) for x in zip(words, stems, strict=True))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append([b.column(c).to_numpy() for c in ("stem", "word", "n", "texts")])
-            size += b.num_rows
-            if size >= GATHERED:
-                yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
-            yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for b in gathered(batches, GATHERED):
+            yield rows(*(b.column(c).to_numpy() for c in ("stem", "word", *COUNTS)))
 
-    parts = map_arrow(counts, run, "is_word boolean, key long, n long, texts long, freed long")
-    return parts.groupBy("is_word", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("freed").alias("freed"))
+    parts = map_arrow(counts, run, "is_word boolean, " + ", ".join(f"{c} long" for c in names[1:]))
+    return parts.groupBy("is_word", "key").agg(*(F.sum(c).alias(c) for c in names[2:]))
 
 
 def learn(train: DataFrame) -> Model | None:
     """The model of train(text, toxic); None if a class is missing. The rows of ``table_rows`` come here."""
     found = table_rows(word_counts(train)).toArrow()
-    is_word = found.column("is_word").to_numpy()
-    key, n, seen, freed = (found.column(c).to_numpy() for c in ("key", "n", "texts", "freed"))
-
-    def table(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.append(values[at], 0).astype(np.float32)
+    column = {c: found.column(c).to_numpy() for c in found.column_names}
 
-    def both(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.stack([table(at, values & LOW), table(at, values >> 32)])
+    def table(at: np.ndarray, *names: str) -> np.ndarray:
+        return np.stack([np.append(column[c][at], 0).astype(np.float64) for c in names])
 
-    word, stem = (x[np.argsort(key[x])] for x in (np.flatnonzero(is_word), np.flatnonzero(~is_word)))
-    stem_n = both(stem, n)
+    word, stem = (x[np.argsort(column["key"][x])] for x in (np.flatnonzero(column["is_word"]), np.flatnonzero(~column["is_word"])))
+    stem_n = table(stem, "plain", "toxic")
     if not stem_n.sum(axis=1).all():
         return None
-    return Model(key[word], both(word, n), table(word, seen), key[stem], stem_n, both(stem, freed), table(stem, seen))
+    key = column["key"]
+    return Model(key[word], table(word, "plain", "toxic"), table(word, "texts")[0], key[stem], stem_n, table(stem, "freed_plain", "freed_toxic"), table(stem, "texts")[0])
+
+
+#: Bins of the histograms by which the curve is placed; they are of the cube root of a value, so small values have narrow ones.
+BINS = 8192
 
 
-#: Bins of the histogram by which the curve is placed, over values from -SPAN to SPAN.
-BINS, SPAN = 8192, 4.0
+def bin_of(x: np.ndarray) -> np.ndarray:
+    return np.clip(((np.cbrt(x) / 2 + 1) / 2 * BINS).astype(np.int64), 0, BINS - 1)
 
 
 def placed(model: Model, held: DataFrame) -> Model:
-    """``model`` with its curve put where it parts the classes of held(text, toxic) best."""
+    """``model`` with the share and the place of its curve that part the classes of held(text, toxic) best."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = shared.value.values(texts(b))
-            ok, toxic = ~np.isnan(x), b.column("toxic").to_numpy(zero_copy_only=False) == 1
-            at = np.clip(((x[ok] + SPAN) / (2 * SPAN) * BINS).astype(np.int64), 0, BINS - 1) + BINS * toxic[ok]
-            key, n = summed(at, np.ones(len(at), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["bin", "n"])
-
-    counts = np.zeros(2 * BINS)
-    for r in map_arrow(held.select("text", "toxic"), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        counts[r["bin"]] = r["n"]
-    plain, toxic = counts.reshape(2, BINS)
-    middle = (np.arange(BINS) + 0.5) / BINS * 2 * SPAN - SPAN
-    if not (plain.sum() and toxic.sum()):
-        model.cut, model.steep, model.ordinary = 0.0, 4.0, -1.0
-        return model
-    # F1 of calling a bin and those above it toxic; the middle of the best cuts.
-    hit, false = toxic[::-1].cumsum()[::-1], plain[::-1].cumsum()[::-1]
-    f1 = 2 * hit / (hit + false + toxic.sum())
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    run_end = best[np.append(np.flatnonzero(np.diff(best) > 1), len(best) - 1)[0]]
-    model.cut = float((best[0] + run_end) / 2 / BINS * 2 * SPAN - SPAN)
-    model.ordinary = float((plain * middle).sum() / plain.sum())
-    high = float((toxic * middle).sum() / toxic.sum())
-    model.steep = 4.0 / max(1e-3, (high - model.ordinary) / 2)
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False) == 1
+            for k, x in enumerate(shared.value.values(texts(b), SHARES)):
+                ok = ~np.isnan(x)
+                key, n, total = summed_by(bin_of(x[ok]) + BINS * toxic[ok] + 2 * BINS * k, x[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(total)], ["bin", "n", "total"])
+
+    counts, sums = np.zeros(2 * BINS * len(SHARES)), np.zeros(2 * BINS * len(SHARES))
+    found = map_arrow(held.select("text", "toxic"), run, "bin long, n long, total double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    for r in found.collect():  # a row a bin
+        counts[r["bin"]], sums[r["bin"]] = r["n"], r["total"]
+    best = -1.0
+    for share, n, total in zip(SHARES, counts.reshape(-1, 2, BINS), sums.reshape(-1, 2, BINS), strict=True):
+        if not n.sum(axis=1).all():
+            model.cut, model.steep, model.ordinary = 0.0, 4.0, -1.0
+            continue
+        # F1 of calling a bin and those above it toxic; the middle of the first run of best cuts.
+        hit, false = (x[::-1].cumsum()[::-1] for x in (n[1], n[0]))
+        f1 = 2 * hit / (hit + false + n[1].sum())
+        if f1.max() > best + 1e-12:
+            best = f1.max()
+            low, high = total.sum(axis=1) / n.sum(axis=1)
+            at = np.flatnonzero(f1 >= best - 1e-12)
+            end = at[np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)[0]]
+            model.share, model.ordinary = share, float(low)
+            model.cut = float(((at[0] + end) / BINS - 1) * 2) ** 3
+            model.steep = 8.0 / max(1e-6, float(high - low))
     return model
 
 

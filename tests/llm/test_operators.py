@@ -334,6 +334,50 @@ def test_toxicity_keeps_each_word_apart(spark):
         assert tuple(model.freed[:, at]) == tuple(sum(min(n, 2) for x, n in c.items() if x[:5] == w[:5]) for c in counts)
 
 
+def test_toxicity_matches_brute_force(spark):
+    """Kneser-Ney likelihoods of both classes in plain Python, and the values of whole texts."""
+    rng = random.Random(12)
+    vocabulary = [a + b for a in ("plain", "other", "words", "tiny", "xé") for b in ("", "er", "ing", "s", "lich")]
+    rows = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))) + " vile" * (i % 4 == 0), int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    stem = lambda w: w.encode()[: toxicity.STEM_BYTES]
+    d = toxicity.DISCOUNT
+    n = [Counter(w for t, c in rows if c == k for w in split(t)) for k in (0, 1)]
+    of_stem = [Counter() for _ in (0, 1)]
+    freed = [Counter() for _ in (0, 1)]
+    for k in (0, 1):
+        for w, x in n[k].items():
+            of_stem[k][stem(w)] += x
+            freed[k][stem(w)] += min(x, d)
+    seen = Counter(w for t, _ in rows for w in set(split(t)))
+    stems = Counter()
+    for w, x in seen.items():
+        stems[stem(w)] += x
+
+    def likelihood(k, w):
+        s = stem(w)
+        base = (stems[s] + 1) / (sum(stems.values()) + len(stems) + 1)
+        p = (max(of_stem[k][s] - d, 0) + sum(min(x, d) for x in of_stem[k].values()) * base) / sum(of_stem[k].values())
+        rare = max(n[0][w], n[1][w]) <= d  # then its backoff is one number for both classes
+        shared = ((0 if rare else seen[w]) + 0.1) / (stems[s] + 1)
+        return p * ((max(n[k][w] - d, 0) + freed[k][s] * shared) / of_stem[k][s] if of_stem[k][s] else shared)
+
+    for t in [t for t, _ in rows] + ["vile new plainish", "", "vile", "Plain, OTHER-words"]:
+        w = split(t)
+        for share in (0.003, 0.1):
+            got = model.values([t], (share,))[0][0]
+            mean = [np.log(1 - share + share * likelihood(1, x) / likelihood(0, x)) for x in w]
+            assert np.isnan(got) if not w else abs(got - sum(mean) / len(w)) < 1e-9
+
+
+def test_toxicity_counts_beyond_32_bits(spark):
+    """Occurrences of one class never spill into the other's."""
+    counts = spark.createDataFrame([(1, 10, 1 << 40, 0, 5), (1, 11, 3, (1 << 33) + 7, 5)], "stem long, word long, plain long, toxic long, texts long")
+    out = {(r.is_word, r.key): (r.plain, r.toxic, r.freed_plain, r.freed_toxic) for r in toxicity.table_rows(counts).collect()}
+    assert out == {(True, 10): (1 << 40, 0, 2, 0), (True, 11): (3, (1 << 33) + 7, 2, 2), (False, 1): ((1 << 40) + 3, (1 << 33) + 7, 4, 2)}
+
+
 def test_toxicity_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = toxicity.toxic_scores(spark.read.parquet(f"{sf}/documents.parquet"), labels(spark, sf), **toxicity.default_folds()).where("held_out").join(labels(spark, sf), "doc_id").collect()
