@@ -39,7 +39,19 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing will read again, and lets Spark drop shuffles nobody refers to."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(conf).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carried: list[str] | None = None) -> tuple[DataFrame, bool]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = sides.join(label.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         fell = label.join(near, "node").select("node", F.least("component", "theirs").alias("component"), (F.col("theirs") < F.col("component")).alias("moved"))
         fell = written(fell)
+        discard(label)
         if fell.where("moved").isEmpty():
+            discard(sides)
             return fell.select("node", "component")
         jump = fell.select(F.col("node").alias("component"), F.col("component").alias("further"))
         label = written(fell.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+        discard(fell)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import gathered, slices, texts
-from lectern.llm.common import identified, written
+from lectern.llm.common import discard, identified, written
 from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
 from lectern.llm.worker import map_arrow
@@ -256,9 +256,10 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_pairs(members: DataFrame, nearest: int | None, percent: int) -> DataFrame:
-    """(a, b) of members(key, node, component, n, sketch) of different components of a bucket whose bit sketches are near enough.
+    """(key, a, b) of members(key, node, component, n, sketch) of different components of a bucket whose bit sketches are near enough.
 
-    With ``nearest`` only so many of the nearest for each member, block by block.
+    With ``nearest`` only so many of the nearest for each member, block by block. A bucket that gives none never will, for
+    components only grow.
     """
 
     def compare(rows: list[tuple]) -> set[tuple[int, int]]:
@@ -286,23 +287,23 @@ def near_pairs(members: DataFrame, nearest: int | None, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        last, out = None, set()
+        last, out = None, []
         for b in gathered(batches, 20_000):
             for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch")), strict=True):
                 if key != last and held:
                     if len(held) > 1:
-                        out |= compare(held)
+                        out += [(last, *pair) for pair in compare(held)]
                     held = []
                 last = key
                 held.append(tuple(row))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-                out = set()
-        if len(held) > 1 and (out := compare(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "a", "b"])
+                out = []
+        if len(held) > 1 and (out := [(last, *pair) for pair in compare(held)]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "a", "b"])
 
     dealt = members.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch")
-    return map_arrow(dealt, run, "a long, b long")
+    return map_arrow(dealt, run, "key long, a long, b long")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -335,30 +336,38 @@ def near_rows(own: DataFrame, shingle: int, percent: int) -> DataFrame:
     links = written(bucket_links(own, shingle, percent))
     first = links.select("doc", "lead").distinct()
     first = first.join(of_doc, "doc").select("lead", F.col("rep").alias("x")).join(of_doc.select(F.col("doc").alias("lead"), F.col("rep").alias("y")), "lead")
-    pairs = written(_ordered(first, "x", "y"))
-    need = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    met = written(_ordered(first, "x", "y"))
+    need = met.select(F.col("a").alias("doc")).unionByName(met.select(F.col("b").alias("doc"))).distinct()
     sets = written(set_table(own, need, shingle, percent))
-    pairs = written(passing(pairs, sets, "sketch", near_enough, percent))
-    edges = written(linked(pairs, sets, percent))
+    tested = written(passing(met, sets, "sketch", near_enough, percent))
+    edges = written(linked(tested, sets, percent))
     label = components(edges)
 
     # Members of buckets, as nodes; only buckets with different nodes matter.
-    inside = links.select("key", "doc").unionByName(links.select("key", F.col("lead").alias("doc"))).join(of_doc, "doc").select("key", F.col("rep").alias("node")).distinct()
-    inside = written(inside)
-    tested = pairs
+    members = links.select("key", "doc").unionByName(links.select("key", F.col("lead").alias("doc")))
+    inside = written(members.join(of_doc, "doc").select("key", F.col("rep").alias("node")).distinct())
+    discard(links, met)
+    used = [sets, tested, edges]
     for round_ in range(ROUNDS + 1):
         placed = inside.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         members = placed.join(open_.hint("merge"), "key", "left_semi").join(sets.select(F.col("doc").alias("node"), "n", "sketch").hint("merge"), "node")
-        more = near_pairs(members, NEAREST if round_ < ROUNDS else None, percent).distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"))
+        near = written(near_pairs(members, NEAREST if round_ < ROUNDS else None, percent))
+        # Only buckets with a near pair may give more.
+        alive = written(inside.join(near.select("key").distinct().hint("merge"), "key", "left_semi"))
+        more = written(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        discard(inside, near)
+        inside = alive
+        used.append(more)
         if more.isEmpty():
             continue
         found = written(linked(more, sets, percent))
         tested = tested.unionByName(more)
+        used.append(found)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             label = components(edges)
+    discard(inside, *used)
 
     rows = nodes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
     return rows.unionByName(known.where("n = 0").select("doc", "n", F.col("doc").alias("component")))

@@ -44,6 +44,8 @@ SHARES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1)
 #: Words end at ASCII bytes that are neither letters nor digits.
 NO_WORD = GAP | np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 GATHERED = 500_000
+#: Bytes of text handled at a time.
+SLICE = 3_000_000
 
 
 def hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(stem, word, plain, toxic, texts) of train(text, toxic): hashes; occurrences in both classes; texts with the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             word, stem, counts = hashes(texts(b))
             text = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((text, word))
@@ -195,7 +197,7 @@ def placed(model: Model, held: DataFrame) -> Model:
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             toxic = b.column("toxic").to_numpy(zero_copy_only=False) == 1
             for k, x in enumerate(shared.value.values(texts(b), SHARES)):
                 ok = ~np.isnan(x)
@@ -244,7 +246,7 @@ def toxic_scores(docs: DataFrame, marks: DataFrame, teaches: Column, places: Col
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, teaches, places, text, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             score = shared.value.scores(texts(b)) if shared.value else np.zeros(b.num_rows)
             columns = [b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
@@ -260,7 +262,7 @@ def without_toxic(docs: DataFrame, marks: DataFrame, teaches: Column, places: Co
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, teaches, places, text, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             yield b.filter(pa.array(shared.value.scores(texts(b, text)) < 0.5)) if shared.value else b
 
     return map_arrow(docs, run, docs.schema)
