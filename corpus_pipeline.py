@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, identified, labels, written
+from lectern.llm.common import discard, documents, identified, labels, written
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.jaccard_join import near_rows
 from lectern.llm.packing import packed
@@ -74,9 +74,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            if i:
+                discard(given)
     return docs
 
 
