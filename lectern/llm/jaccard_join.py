@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import gathered, slices, texts
-from lectern.llm.common import discard, identified, written
+from lectern.llm.common import discard, identified, small_enough, written
 from lectern.llm.components import components
 from lectern.llm.wordhash import chain, mix, words_of
 from lectern.llm.worker import map_arrow
@@ -44,6 +44,8 @@ SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 1
 WORDS = 1_500_000
 #: Members of a node that one task tests; rows gathered of sorted batches.
 TESTED, GATHER = 1_000, 100_000
+#: Pairs, of 24 bytes, that may be broadcast.
+FEW = 100_000
 
 
 def shingle_sets(bodies: list[str], size: int) -> list[np.ndarray]:
@@ -231,7 +233,9 @@ def passing(pairs: DataFrame, sets: DataFrame, column: str, test: Callable, perc
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     routed = pairs.join(many.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TESTED)).alias("part"), F.col("b").alias("doc"))
     routed = routed.unionByName(routed.select("a", "part", F.col("a").alias("doc")).distinct())
-    met = routed.join(sets.select("doc", "n", F.col(column).alias("raw")).hint("merge"), "doc")
+    own = sets.select("doc", "n", F.col(column).alias("raw"))
+    # Few pairs go to the sets, otherwise both sides are dealt by document.
+    met = own.join(F.broadcast(routed), "doc") if small_enough(pairs, FEW) else routed.join(own.hint("merge"), "doc")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc") != F.col("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
