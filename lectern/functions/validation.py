@@ -149,3 +149,15 @@ def pipeline_confidence(confidence: Column, seconds: Column, succeeded: Column,
     c = F.when(seconds > 120, c * 0.9).otherwise(c)
     c = F.when(succeeded < 0.5, c * 0.4).otherwise(c)
     return F.when(required, c).otherwise(c * 0.5)
+
+
+# Phrases of pages that stand for a missing text.
+PLACEHOLDERS = ["lorem ipsum", "placeholder", "test content", "coming soon", "under construction", "page not found", "error 404", "404 not found", "no content available", "content not available"]
+
+
+def record_ok(text: Column, title: Column, speaker: Column, date: Column, url: Column) -> Column:
+    """Whether a collected record may be stored: a text of 100 characters or more that is no placeholder, all fields, and a title of five."""
+    full = F.lit(True)
+    for c in (title, speaker, date, url):
+        full = full & (F.coalesce(c.cast("string"), F.lit("")) != "")
+    return F.coalesce((F.length(stripped(text)) >= 100) & (hits_of(text, PLACEHOLDERS) == 0), F.lit(False)) & full & (F.length(title) >= 5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapsed
 
 # Date formats tried in order; titles before names; English months.
-DATE_FORMATS = ["MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyyMMdd", "d MMMM yyyy", "d MMM yyyy"]
+DATE_FORMATS = ["MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "MMMM d yyyy", "MMM d yyyy", "yyyyMMdd", "d MMMM yyyy", "d MMM yyyy"]
 TITLES = ["Vice Chairman", "Vice Chair", "Chairman", "Chair", "Governor", "President", "Dr.", "Mr.", "Ms.", "Mrs."]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
@@ -23,8 +23,22 @@ def within_years(d: Column, low: int, high: int) -> Column:
 
 def parsed_date(text: Column, low: int = 1990, high: int = 2030) -> Column:
     """The first format that fits; null outside the years."""
-    bare = collapsed(text)
-    return F.coalesce(*(within_years(F.try_to_date(bare, f), low, high) for f in DATE_FORMATS))
+    def first(bare: Column) -> Column:
+        return F.get(F.filter(F.array(*(F.try_to_date(bare, f) for f in DATE_FORMATS)), lambda d: F.year(d).between(low, high)), F.lit(0))
+
+    return F.get(F.transform(F.array(collapsed(text)), first), F.lit(0))
+
+
+def content_date(text: Column) -> Column:
+    """The first date a text names, of the first form it has: day month year, month day year, year-month-day."""
+    month = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+    forms = ((rf"\b(\d{{1,2}}\s+{month}\s+\d{{4}})\b", "d MMMM yyyy"), (rf"\b({month}\s+\d{{1,2}},\s+\d{{4}})\b", "MMMM d, yyyy"), (r"\b(\d{4}-\d{2}-\d{2})\b", "yyyy-MM-dd"))
+    return F.coalesce(*(F.try_to_date(none_if_blank(F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " ")), f) for p, f in forms))
+
+
+def from_year(date_text: Column, year: int) -> Column:
+    """Whether the year a date begins with is ``year`` or later; dates that don't begin with one count."""
+    return F.coalesce(F.substring(date_text, 1, 4).try_cast("int") >= year, F.lit(True))
 
 
 def basename(url: Column) -> Column:
@@ -69,6 +83,21 @@ def speaker_from_url(url: Column) -> Column:
     return none_if_blank(F.lower(F.regexp_extract(basename(url), "^([A-Za-z]+)", 1)))
 
 
+def path_names(url: Column) -> Column:
+    """The names a url's path may mean, likeliest first: of the first to the last pattern the whole, then its last word."""
+    path = F.lower(F.regexp_extract(url, r"^(?:https?://[^/?#]+)?([^?#]*)", 1))
+    skip = F.array(*(F.lit(w) for w in ("speech", "remarks", "address", "pdf", "html", "htm", "")))
+    patterns = (
+        (r"speech-by-([a-z-]+)-([a-z-]+)", 2), (r"([a-z-]+)-(speech|remarks|address)", 2), (r"([a-z-]+)-([a-z-]+)-(speech|remarks|address)", 3), (r"/([a-z-]+)/", 1), (r"([a-z-]+)\.(pdf|html?)", 2),
+    )
+    found = []
+    for p, n in patterns:
+        groups = F.filter(F.array(*(F.regexp_extract(path, p, i + 1) for i in range(n))), lambda g: ~F.array_contains(skip, g))
+        whole = F.trim(F.array_join(F.transform(groups, lambda g: F.replace(g, F.lit("-"), F.lit(" "))), " "))
+        found += [whole, F.element_at(F.split(whole, r"\s+"), -1)]
+    return F.filter(F.array(*found), lambda x: x != "")
+
+
 def speaker_from_text(text: Column) -> Column:
     titled = F.regexp_extract(text, r"(?:Governor|Chairman|Chair|President|Dr\.|Mr\.|Ms\.)\s+([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)", 1)
     by = F.regexp_extract(text, r"[Bb]y\s+([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)", 1)
@@ -161,6 +190,35 @@ def money_add(amount: Column, other: Column, currency: Column, other_currency: C
     return F.when(currency == other_currency, (amount.cast("decimal(28,10)") + other.cast("decimal(28,10)")).cast("decimal(38,10)"))
 
 
+def money_subtract(amount: Column, other: Column, currency: Column, other_currency: Column) -> Column:
+    """The exact difference; null unless the currencies agree."""
+    return F.when(currency == other_currency, (amount.cast("decimal(28,10)") - other.cast("decimal(28,10)")).cast("decimal(38,10)"))
+
+
+def money_times(amount: Column, factor: Column) -> Column:
+    return (amount.cast("decimal(19,8)") * factor.cast("decimal(18,8)")).cast("decimal(38,10)")
+
+
+def money_divided(amount: Column, by: Column) -> Column:
+    """Null when ``by`` is 0."""
+    return (amount.cast("decimal(19,8)") / F.nullif(by.cast("decimal(18,8)"), F.lit(0).cast("decimal(18,8)"))).cast("decimal(38,10)")
+
+
+def parsed_id(text: Column) -> Column:
+    """(code, uid) of an id, split at the first colon; null unless both are as ``speech_id`` wants them."""
+    code, uid = F.regexp_extract(text, "(?s)^([^:]*):(.*)$", 1), F.regexp_extract(text, "(?s)^([^:]*):(.*)$", 2)
+    return F.when(code.rlike("^[A-Z0-9_]{2,}$") & (F.length(uid) >= 8), F.struct(code.alias("code"), uid.alias("uid")))
+
+
+def scaled(value: Column, low: float = -1.0, high: float = 1.0) -> dict[str, Column]:
+    """A score within its scale: from 0 to 1, how far it is from the middle, and on which side (neutral within .01 of it)."""
+    middle, half = (low + high) / 2, (high - low) / 2
+    return {
+        "normalized": (value - low) / (high - low), "strength": F.abs(value - middle) / half, "is_neutral": F.abs(value - middle) < 0.01,
+        "is_positive": value > middle, "is_negative": value < middle,
+    }
+
+
 def speech_id(code: Column, uid: Column) -> Column:
     """CODE:uid; null unless the code is of capitals, digits and underscores, two or more, and the uid has eight characters."""
     return F.when(code.rlike("^[A-Z0-9_]{2,}$") & (F.length(uid) >= 8), F.concat_ws(":", code, uid))
@@ -184,6 +242,17 @@ def month_range(day: Column) -> Column:
     return F.struct(first.alias("start"), F.last_day(day).alias("end"), (F.datediff(F.last_day(day), first) + 1).alias("days"))
 
 
+def year_range(day: Column) -> Column:
+    start, end = F.trunc(day, "year"), F.last_day(F.add_months(F.trunc(day, "year"), 11))
+    return F.struct(start.alias("start"), end.alias("end"), (F.datediff(end, start) + 1).alias("days"))
+
+
+def range_lengths(start: Column, end: Column) -> dict[str, Column]:
+    """Days of a range, both ends included, as days, weeks, months and years of mean length."""
+    days = F.datediff(end, start) + 1
+    return {"days": days, "weeks": days / 7, "months": days / 30.44, "years": days / 365.25}
+
+
 def next_status(status: Column, has_text: Column, valid: Column, analysed: Column) -> Column:
     """discovered, extracted, validated or failed, analyzed, by what is there."""
     return F.when(analysed, "analyzed").when(valid, "validated").when(~valid, "failed").when(has_text, "extracted").otherwise(F.coalesce(status, F.lit("discovered")))

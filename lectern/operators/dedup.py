@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.scratch import written
+
 
 def first_per(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``; partial aggregation keeps one row a key and task."""
@@ -24,8 +26,6 @@ def title_date_url_dedup(df: DataFrame, order: list[str], url: str = "url", titl
     go on until none is left. Once at most ``few`` are, their keys are decided one by one on the driver, so a long chain
     takes no round for each link. Ties of ``order`` go by url, title and date.
     """
-    from lectern.llm.common import written
-
     plain = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s+|\s+$", ""))
     keys = {"_u": F.col(url), "_t": plain, "_d": F.coalesce(F.col(date).cast("string"), F.lit(""))}
     # The later of two rows that agree in everything is refused whatever becomes of the first.
@@ -47,5 +47,10 @@ def title_date_url_dedup(df: DataFrame, order: list[str], url: str = "url", titl
     return once.join(reduce(DataFrame.unionByName, kept), [*keys], "left_semi").select(*df.columns)
 
 
+def gathered(sources: list[DataFrame], key: list[str], order: list[str]) -> DataFrame:
+    """The rows of all sources by column name, missing columns null, and of each key the first in ``order``."""
+    return first_per(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources), key, order)
+
+
 def new_only(found: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return found.join(stored.select(key), key, "left_anti")

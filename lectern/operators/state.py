@@ -1,47 +1,74 @@
-"""Order-dependent measures as folds over each key's ordered rows.
+"""Order-dependent measures: each key's rows are read in order and a small state goes from row to row.
 
-A key's rows are gathered in one ordered array, which suits keys of bounded size (a document's sentences, a
-speaker's speeches); for endless keys use the streaming forms in ``lectern.streaming``.
+Rows are dealt by key, sorted, and passed on as they come, so neither a task nor the driver holds a key's history; a
+key is read by one task, as its order demands. For endless inputs use the streaming forms in ``lectern.streaming``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lectern.functions.shipping import map_arrow
+
+
+def scanned(df: DataFrame, key: list[str], by: str, values: list[str], start: Callable, step: Callable, outs: str, last_only: bool = False) -> DataFrame:
+    """(key, by, outs): ``step(state, *values)`` of every row in the order of ``by`` gives the next state and the outs; with ``last_only`` a key's last."""
+    kept = [*key, by]
+    own = df.select(*kept, *values)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + f", {outs}"
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, held = None, None, None
+        for b in batches:
+            rows = []
+            for row in zip(*(b.column(c).to_pylist() for c in [*kept, *values]), strict=True):
+                own_key = row[: len(key)]
+                if state is None or own_key != last:
+                    if last_only and held is not None:
+                        rows.append(held)
+                    last, state = own_key, start()
+                state, out = step(state, *row[len(kept) :])
+                held = (*row[: len(kept)], *out)
+                if not last_only:
+                    rows.append(held)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+        if last_only and held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(held, target, strict=True)], schema=target)
+
+    return map_arrow(own.repartition(*key).sortWithinPartitions(*key, by, *values), run, schema)
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def ordered(df: DataFrame, key: list[str], by: str, values: list[str]) -> DataFrame:
-    """(key, rows): each key's rows as an array of structs, by ``by``."""
-    return df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(by, *values))).alias("rows"))
 
+def smoothed(df: DataFrame, key: list[str], by: str, value: str, weight: float = 0.6, last: int = 5) -> DataFrame:
+    """y: ``value`` drawn to the mean of the last outputs of its key, clipped to -1..1; the first stays as it is, a null has none.
 
-def folded(df: DataFrame, key: list[str], by: str, values: list[str], start: Column, step: Callable[[Column, Column], Column], out: str) -> DataFrame:
-    """Exploded ``out`` of a fold: the state has an array field ``out``, to which ``step`` adds."""
-    rows = ordered(df, key, by, values)
-    return rows.select(*key, F.inline(F.aggregate("rows", start, step)[out]))
+    The key is the scope of the history: a document, or a speaker or a constant for a history that goes on across documents.
+    """
 
+    def step(past: deque, x: float | None) -> tuple:
+        if x is None:
+            return past, (None,)
+        y = weight * x + (1 - weight) * (sum(past) / len(past)) if past else x
+        past.append(max(-1.0, min(1.0, y)))
+        return past, (past[-1],)
 
-def smoothed(df: DataFrame, key: list[str], by: str, value: str, weight: float = 0.6, last: int = 5) -> DataFrame:
-    """y: ``value`` drawn to the mean of the last outputs of its key, clipped to -1..1; the first stays as it is."""
-    kind = df.schema[by].dataType.simpleString()
-    start = F.struct(F.array().cast("array<double>").alias("past"), F.array().cast(f"array<struct<{by}:{kind},y:double>>").alias("out"))
+    return scanned(df, key, by, [value], lambda: deque(maxlen=last), step, "y double")
 
-    def step(s: Column, r: Column) -> Column:
-        mean = F.aggregate(s["past"], F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s["past"]), F.lit(0))
-        raw = F.when(F.size(s["past"]) == 0, r[value]).otherwise(F.lit(weight) * r[value] + F.lit(1 - weight) * mean)
-        y = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
-        past = F.slice(F.concat(s["past"], F.array(y)), F.greatest(F.lit(1), F.size(s["past"]) + 2 - last), F.lit(last))
-        return F.struct(past.alias("past"), F.concat(s["out"], F.array(F.struct(r[by].alias(by), y.alias("y")))).alias("out"))
 
-    return folded(df, key, by, [value], start, step, "out")
+def ema(df: DataFrame, key: list[str], by: str, value: str, alpha: float = 0.1, start: float = 0.0) -> DataFrame:
+    """The last exponential moving average of each key; nulls are passed over."""
 
+    def step(a: float, x: float | None) -> tuple:
+        a = a if x is None else a * (1 - alpha) + x * alpha
+        return a, (a,)
 
-def ema(df: DataFrame, key: list[str], by: str, value: str, alpha: float = 0.1, start: float = 0.0) -> DataFrame:
-    """The last exponential moving average of each key."""
-    rows = ordered(df, key, by, [value])
-    return rows.select(*key, F.aggregate("rows", F.lit(start), lambda a, r: a * (1 - alpha) + r[value] * alpha).alias("ema"))
+    return scanned(df, key, by, [value], lambda: start, step, "ema double", last_only=True).select(*key, "ema")
 
 
 def breaker(df: DataFrame, key: list[str], by: str, ok: str, seconds: str, failures: int = 5, wait: float = 60.0, successes: int = 3) -> DataFrame:
@@ -50,32 +77,58 @@ def breaker(df: DataFrame, key: list[str], by: str, ok: str, seconds: str, failu
     ``seconds`` is the time of a call. After ``failures`` failures it opens; ``wait`` seconds later a call tries it (half open);
     ``successes`` in a row close it. Failures counted before stay, so one more opens a half-open breaker.
     """
-    kind = df.schema[by].dataType.simpleString()
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("bad"), F.lit(0).alias("good"), F.lit(0.0).alias("since"), F.array().cast(f"array<struct<{by}:{kind},state:string,passed:boolean>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        t = r[seconds]
-        state = F.when((s["state"] == "open") & (t - s["since"] >= wait), "half_open").otherwise(s["state"])
-        good0 = F.when((s["state"] == "open") & (state == "half_open"), 0).otherwise(s["good"])
-        passed = state != "open"
-        bad = F.when(~passed, s["bad"]).when(r[ok], F.when((state == "half_open") & (good0 + 1 < successes), s["bad"]).otherwise(F.lit(0))).otherwise(s["bad"] + 1)
-        good = F.when(passed & r[ok] & (state == "half_open"), good0 + 1).when(passed & ~r[ok], 0).otherwise(good0)
-        new = F.when(~passed, "open").when(~r[ok] & (bad >= failures), "open").when(r[ok] & (state == "half_open") & (good >= successes), "closed").otherwise(state)
-        since = F.when(passed & (new == "open"), t).otherwise(s["since"])
-        out = F.concat(s["out"], F.array(F.struct(r[by].alias(by), new.alias("state"), passed.alias("passed"))))
-        return F.struct(new.alias("state"), bad.alias("bad"), good.alias("good"), since.alias("since"), out.alias("out"))
 
-    return folded(df, key, by, [ok, seconds], start, step, "out")
+    def step(s: tuple, good_call: bool | None, t: float) -> tuple:
+        state, bad, good, since = s
+        if state == "open":
+            if t - since < wait:
+                return s, ("open", False)
+            state, good = "half_open", 0
+        if good_call:
+            good += state == "half_open"
+            if state != "half_open" or good >= successes:
+                bad = 0
+            if state == "half_open" and good >= successes:
+                state = "closed"
+        else:
+            bad, good = bad + 1, 0
+            if bad >= failures:
+                state, since = "open", t
+        return (state, bad, good, since), (state, True)
+
+    return scanned(df, key, by, [ok, seconds], lambda: ("closed", 0, 0, 0.0), step, "state string, passed boolean")
 
 
 def adaptive_delay(df: DataFrame, key: list[str], by: str, code: str, floor: float = 1.0, cap: float = 300.0) -> DataFrame:
     """The delay of a rate limiter after each response: 429 times 1.5, 5xx times 1.2, others times .95, within floor and cap."""
-    kind = df.schema[by].dataType.simpleString()
-    start = F.struct(F.lit(floor).alias("delay"), F.array().cast(f"array<struct<{by}:{kind},delay:double>>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        by_code = F.when(r[code] == 429, 1.5).when(r[code] >= 500, 1.2).otherwise(0.95)
-        d = F.greatest(F.lit(floor), F.least(F.lit(cap), s["delay"] * by_code))
-        return F.struct(d.alias("delay"), F.concat(s["out"], F.array(F.struct(r[by].alias(by), d.alias("delay")))).alias("out"))
+    def step(delay: float, c: int) -> tuple:
+        delay = max(floor, min(cap, delay * (1.5 if c == 429 else 1.2 if c >= 500 else 0.95)))
+        return delay, (delay,)
+
+    return scanned(df, key, by, [code], lambda: floor, step, "delay double")
 
-    return folded(df, key, by, [code], start, step, "out")
+
+def limited(df: DataFrame, key: list[str], by: str, seconds: str, code: str, rate: float = 1.0, burst: int = 5, cap: float = 300.0) -> DataFrame:
+    """When each request of a key goes out, and the delay after its response: a burst window and an adaptive delay.
+
+    ``seconds`` is when a request comes. It waits until fewer than ``burst`` went out in the last ``burst / rate`` seconds, and until the
+    delay since the last one is over; the responses change the delay as in ``adaptive_delay``, whose floor is 1 / rate.
+    """
+    window = burst / rate
+
+    def step(s: tuple, t: float, c: int) -> tuple:
+        sent, last, delay = s
+        now = t if last is None else max(t, last)
+        while sent and now - sent[0] >= window:
+            sent.popleft()
+        at = now
+        if len(sent) >= burst:
+            at += max(0.0, sent[0] + window - now)
+        if last is not None:
+            at += max(0.0, delay - (now - last))
+        sent.append(at)
+        delay = max(1 / rate, min(cap, delay * (1.5 if c == 429 else 1.2 if c >= 500 else 0.95)))
+        return (sent, at, delay), (at, delay)
+
+    return scanned(df, key, by, [seconds, code], lambda: (deque(), None, 1 / rate), step, "sent_at double, delay double")

@@ -29,18 +29,24 @@ def _kept(df: DataFrame, longer_than: int) -> DataFrame:
     return rows.where(F.length(stripped(F.col("text"))) > longer_than)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", longer_than: int = 100) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1", "windows-1252"), longer_than: int = 100) -> DataFrame:
     """(title, speaker, date, text, url, file) of CSV files below ``path``, whatever their columns are called; names count by case.
 
-    Files that aren't in UTF-8 are read again with another ``encoding`` (see ``undecodable``).
+    Each file has a header of its own and is read in the first of ``encodings`` that its bytes are valid in. Files of one header
+    and encoding are read together; only names, first lines and encodings come to the driver.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    return _kept(rows.withColumn("file", F.input_file_name()), longer_than)
-
-
-def undecodable(rows: DataFrame) -> DataFrame:
-    """Files whose text shows the replacement character: to be read as latin-1 or cp1252."""
-    return rows.where(F.col("text").contains("�")).select("file").distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    # A decoding that gives other bytes back wasn't that of the file.
+    fits = F.lit(encodings[-1])
+    for e in reversed(encodings[:-1]):
+        fits = F.when(F.try_validate_utf8(F.col("content")).isNotNull() if e == "UTF-8" else F.lit(True), e).otherwise(fits)
+    kinds = files.select("path", F.split(F.decode(F.col("content"), "ISO-8859-1"), r"\r?\n")[0].alias("header"), fits.alias("encoding"))
+    out = None
+    for kind in kinds.groupBy("header", "encoding").agg(F.collect_list("path").alias("paths")).collect():
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", kind["encoding"]).csv(kind["paths"])
+        part = _kept(rows.withColumn("file", F.input_file_name()), longer_than)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"{f} string" for f in (*FIELDS, "file")))
 
 
 def read_texts(spark: SparkSession, path: str, longer_than: int = 100) -> DataFrame:

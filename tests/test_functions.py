@@ -7,8 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import extraction, lexicons, scoring, text, validation, values
-from lectern.operators import dedup, finders, specs, state
+from lectern.functions import dom, extraction, lexicons, scoring, text, validation, values
+from lectern.operators import dedup, finders, people, runs, specs, state
 from lectern.plans import catalogue
 
 
@@ -147,13 +147,129 @@ def test_statement_cleaning_modes(spark):
     assert one(spark, extraction.clean_statement(F.col("s"), linewise=True), s=s) == "Body text. More body. End"
 
 
+def page(html, profile):
+    return extraction.page_text(dom.parsed(html), extraction.PROFILES[profile])
+
+
 def test_page_text():
     body = "word " * 150
     html = f"<html><head><title>x</title><script>var a;</script></head><body><nav>menu</nav><div id='article'><h1>T</h1><p>{body}<br>more</p></div><footer>f</footer></body></html>"
-    got, sure = extraction.page_text(html, extraction.SELECTORS)
+    got, sure = page(html, "longest")
     assert sure == 0.9 and got.startswith("T") and "menu" not in got and "var a" not in got and "more" in got
-    assert extraction.page_text("<p>short</p>", extraction.SELECTORS) == ("short", 0.6)
-    assert extraction.page_text("", extraction.SELECTORS) == ("", 0.6)
+    assert page("<body><p>short</p></body>", "longest") == ("short", 0.6) and page("<p>short</p>", "longest") == ("", 0.6)
+    for name in extraction.PROFILES:
+        assert page("", name) == page(None, name) == ("", 0.6)
+
+
+def test_page_profiles():
+    long = "Inflation remained above target. " * 20
+    html = f'<body><div role="main"><p>{long}</p><sup>1</sup></div><p>We use a cookie here, please accept it now.</p><p>{long}{long}</p></body>'
+    assert page(html, "longest")[0].count("Inflation") == 60 and "cookie" in page(html, "longest")[0]  # all paragraphs are longer
+    assert page(html, "preferred")[0] == f"{long.strip()}\n1"  # a selector before paragraphs
+    assert page(f"<body><p>We use a cookie here, please accept it now.</p><p>{long}</p></body>", "preferred") == (long.strip(), 0.9)
+    assert page("<body><p>short</p></body>", "preferred") == ("", 0.6)
+    assert page("<body><div class='a content'> a \n b<script>x</script></div><p>c</p></body>", "first") == ("a b", 0.9)
+    assert page("<body><main>a<nav>n</nav> <b>b</b><form>f</form></main></body>", "legacy") == ("a\nb", 0.9)
+
+
+def test_selectors():
+    root = dom.parsed('<div class="page-header x"><h1 class="big-title">A</h1><br><p>b<p>c</div><meta property="og:title" content="M">')
+    assert root.first(".page-header h1").text() == root.first('[class*="title"]').text() == "A"
+    assert root.first("div.page-header.x") is not None and root.first("h1.page-header") is None and root.first("#x") is None
+    assert root.first('meta[property="og:title"]').attrs["content"] == "M" and [n.tag for n in root.walk()] == ["div", "h1", "br", "p", "p", "meta"]
+
+
+def test_titles_and_places():
+    title, place = (lambda h, f="": extraction.page_title(dom.parsed(h), f)), (lambda h: extraction.page_location(dom.parsed(h)))
+    assert title("<h1>The outlook for inflation</h1>") == "The outlook for inflation"
+    assert title('<h1>Bank of England news</h1><meta name="twitter:title" content="Money and prices">') == "Money and prices"
+    assert title("<h1>Short</h1>", "kept") == "kept" and title("") == "Untitled Speech"
+    assert place('<p class="venue">Guildhall, York</p>') == "Guildhall, York" and place("<p>remarks at Harvard University today</p>") == "Harvard University"
+    assert place("<main>in Cardiff, Wales</main>") == "Cardiff, Wales" and place("") == "London, UK"
+
+
+def test_texts_without_markup(spark):
+    text = "Governor Smith\n12 May\nSPEECH BY HAND NOW\nThe outlook for the economy\nheld at Leeds, England"
+    assert one(spark, extraction.lines_title(F.col("s")), s=text) == "The outlook for the economy"
+    assert one(spark, extraction.lines_title(F.col("s"), "f"), s="x") == "f"
+    assert one(spark, extraction.lines_location(F.col("s")), s=text) == "Leeds, England" and one(spark, extraction.lines_location(F.col("s")), s="") == "London, UK"
+    got = extraction.lines_metadata(F.col("s"))
+    assert one(spark, got["speaker"], s="Speech by Jane  Doe, Governor, 3 Mar 2020") == "Jane Doe" and one(spark, got["date"], s="on 3  Mar 2020") == "3 Mar 2020"
+
+
+def test_links_of_a_listing(spark):
+    html = '<ul><li><a href="/a20240102a.htm">Long title</a> by nobody</li><li>Governor Jane Doe, <a href="b.htm">Another one</a> March 5, 2021</li><li><a href="c.htm">Undated text</a></li><li><a href="d">abc</a></li></ul>'
+    rows = spark.createDataFrame([(1, "https://x.example/l/i.htm", f"<table><tr><td>{html}</td></tr></table>"), (2, "https://x.example/", None)], "page_id long, url string, html string")
+    got = {r.link: (r.title, r.speaker, str(r.speech_date)) for r in extraction.listing(rows).collect()}
+    assert got["https://x.example/a20240102a.htm"] == ("Long title", "a", "2024-01-02")  # nobody is named beside it
+    assert got["https://x.example/l/b.htm"] == ("Another one", "Jane Doe", "2021-03-05") and len(got) == 3
+
+
+def test_known_names_by_shards(spark):
+    texts = spark.createDataFrame([(1, "Joann Leeson spoke"), (2, None), (3, "nobody"), (4, "ANN LEE and Bo")], "id long, t string")
+    known = spark.createDataFrame([("Ann Lee",), ("Bo",), ("",), (None,), ("ann",)], "name string")
+    for shard in (100, 1):
+        assert sorted(tuple(r) for r in people.contained(texts, "id", "t", known, "name", shard=shard).collect()) == [(1, "ann"), (1, "ann lee"), (3, "bo"), (4, "ann"), (4, "ann lee"), (4, "bo")]
+        assert sorted(tuple(r) for r in people.contained(texts, "id", "t", known, "name", longest=True, shard=shard).collect()) == [(1, "ann lee"), (3, "bo"), (4, "ann lee")]
+    assert people.contained(texts, "id", "t", known.where("name = 'x'"), "name").count() == 0
+
+
+def test_get_or_create(spark):
+    found = spark.createDataFrame([(1, "ANN LEE"), (2, "bo"), (3, "nobody"), (4, "Cy"), (5, None)], "i long, name string")
+    own = spark.createDataFrame([("Ann Lee", "r"), ("Bo", "s"), ("Cy", "t"), ("Dee", "u")], "name string, role string")
+    stored = spark.createDataFrame([(4, "Sir Ann Leeson", "x"), (9, "Ann Lee", "y")], "speaker_id long, name string, role string")
+    rows, made = people.get_or_create(found, own, stored)
+    assert {r.i: r.speaker_id for r in rows.collect()} == {1: 9, 2: 10, 3: None, 4: 11, 5: None}
+    assert sorted(tuple(r) for r in made.collect()) == [(10, "Bo", "s"), (11, "Cy", "t")]
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(500).select(F.format_string("%03d", (F.col("id") * 7) % 500).alias("name")).repartition(7)
+    assert [r.n for r in people.numbered(rows, "name").orderBy("name").collect()] == list(range(1, 501))
+
+
+def test_runs_go_on(spark):
+    work, stored = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, b int"), []
+
+    def save(df):
+        rows = [r.id for r in df.collect()]
+        if len(stored) == 1 and not done:
+            raise RuntimeError("lost")
+        stored.append(rows)
+
+    done = []
+    with pytest.raises(RuntimeError):
+        runs.done_in_batches(work, None, ["id"], F.col("b"), [0, 1, 2], lambda d: d, save)
+    done = [(i,) for rows in stored for i in rows]
+    assert runs.done_in_batches(work, spark.createDataFrame(done, "id long"), ["id"], F.col("b"), [0, 1, 2], lambda d: d, save) == [1, 2]
+    assert sorted(i for rows in stored for i in rows) == list(range(9))
+
+
+def test_burst_window_and_delay(spark):
+    rng, rows = random.Random(3), []
+    for k in range(4):
+        t = 0.0
+        for i in range(40):
+            t += rng.choice([0, 0.1, 0.5, 3])
+            rows.append((k, i, t, rng.choice([200, 200, 429, 503])))
+    got = {(r.k, r.i): (round(r.sent_at, 6), round(r.delay, 6)) for r in state.limited(spark.createDataFrame(rows, "k int, i int, t double, c int"), ["k"], "i", "t", "c", rate=2.0, burst=3).collect()}
+    for k in range(4):
+        sent, delay = [], 0.5
+        for _, i, t, c in [r for r in rows if r[0] == k]:
+            now = max([t, *sent[-1:]])
+            recent = [s for s in sent if now - s < 1.5]
+            at = now + (max(0, recent[0] + 1.5 - now) if len(recent) >= 3 else 0) + (max(0, delay - (now - sent[-1])) if sent else 0)
+            delay = max(0.5, min(300, delay * {429: 1.5, 503: 1.2, 200: 0.95}[c]))
+            sent.append(at)
+            assert got[(k, i)] == (round(at, 6), round(delay, 6))
+
+
+def test_history_across_documents(spark):
+    rows = [(d, i, x) for d, xs in ((1, [0.5, None, 1.0]), (2, [-1.0])) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "doc int, i int, x double").withColumn("all", F.lit(1)).withColumn("at", F.col("doc") * 100 + F.col("i"))
+    by_doc = {(r.doc, r.i): r.y for r in state.smoothed(df, ["doc"], "i", "x").collect()}
+    assert by_doc == {(1, 0): 0.5, (1, 1): None, (1, 2): 0.8, (2, 0): -1.0}
+    assert [round(r.y, 6) for r in state.smoothed(df.where("x IS NOT NULL"), ["all"], "at", "x").orderBy("at").collect()] == [0.5, 0.8, -0.34]
 
 
 def test_longest_capitals_and_ids(spark):

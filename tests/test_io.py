@@ -28,6 +28,17 @@ def test_bulk_csv_texts_and_pairs(spark, tmp_path):
     assert bulk.read_pairs(spark, str(tmp_path / "pairs")).head().speaker == "S0"
 
 
+def test_bulk_csv_headers_and_encodings(spark, tmp_path):
+    """Each file by its own header, in the encoding its bytes fit."""
+    (tmp_path / "a.csv").write_text(f"title,text\nOne é,{LONG}\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(f'Content,Author,Title\n{LONG},Ann,"Two\né"\n', encoding="latin-1")
+    (tmp_path / "c.csv").write_text(f"url,speech_text\nu,{LONG}\n")
+    (tmp_path / "d.csv").write_text("")
+    got = sorted((r.title or "", r.speaker, r.url, len(r.text.strip())) for r in bulk.read_csv(spark, str(tmp_path)).collect())
+    n = len(LONG.strip())
+    assert got == [("", None, "u", n), ("One é", None, None, n), ("Two\né", "Ann", None, n)]
+
+
 @pytest.mark.parametrize("content,titles", [
     ([{"title": "A", "text": LONG}, {"title": "B", "content": LONG}], ["A", "B"]), ({"speeches": [{"title": "A", "text": LONG}]}, ["A"]), ({"data": [{"title": "A", "text": LONG}]}, ["A"]),
     ({"title": "A", "text": LONG}, ["A"]), ([LONG], [None]),
