@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.scratch import discard, scratch_dir, written  # noqa: F401
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -23,37 +22,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where that is unset a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names the shared folder and must be set on a cluster")
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/lectern-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    writer = df.write.mode("error").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-    out.scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` gave and that nothing will read again, and lets Spark drop shuffles nobody refers to."""
-    for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(conf).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
-
-
 def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carried: list[str] | None = None) -> tuple[DataFrame, bool]:
     """(doc, doc_id, text) of every row, and where asked for the struct ``carried`` of other columns; whether ``doc`` is the doc_id.
 
