@@ -44,12 +44,13 @@ LONGEST = 500
 @dataclass(frozen=True)
 class Windows:
     """``length`` symbols a window, ``gram`` an anchor; ``within``: a window recurs by an earlier start in its own document too;
-    ``many``: classes of an anchor that is not split."""
+    ``many``: classes of an anchor that is not split; ``traced``: settled ranges tell which document has them earlier."""
 
     length: int
     gram: int
     within: bool
     many: int = MANY
+    traced: bool = False
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.length <= LONGEST:
@@ -116,17 +117,33 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def settled(key: np.ndarray, kind: np.ndarray, doc: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: which come first in their class, and which have an earlier equal and so are settled."""
+    """Of sorted rows: where the first of each row's class is, and which have an earlier equal and so are settled."""
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-    if within:
-        return first, ~first
-    return first, doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(key) else np.zeros(0, np.int64)
+    return lead, ~first if within else doc > doc[lead]
+
+
+def merged_by(parts: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges, those that agree in all of ``parts`` and overlap or touch made one; with the parts."""
+    if not len(start):
+        return (*parts, start, end)
+    order = np.lexsort(parts[::-1])
+    new = np.zeros(len(order), bool)
+    for x in parts:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    found, start, end = merged(group, start, end)
+    some = order[np.concatenate([[0], np.flatnonzero(new)])]
+    return (*(x[some][found] for x in parts), start, end)
 
 
 def anchor_rows(docs: DataFrame, symbols: Callable, spec: Windows) -> DataFrame:
     """(key, kind, doc, at) of every anchor that its task can't settle; a negative ``at`` marks a settled range of doc."""
 
+    names = ["key", "kind", "doc", "at"] + ["src", "shift"] * spec.traced
+
     def rows(ids: list[int], found: list[np.ndarray], base: list[int]) -> pa.RecordBatch:
         key, kind, d, first, anchor, last = scan(np.concatenate(found), np.array([len(x) for x in found]), spec)
         ids, base = np.array(ids, np.int64), np.array(base, np.int64)
@@ -134,15 +151,21 @@ def anchor_rows(docs: DataFrame, symbols: Callable, spec: Windows) -> DataFrame:
         key, kind = key.view(np.int64), kind.view(np.int64)
         order = np.lexsort((at, doc, kind, key))
         key, kind, doc, at = key[order], kind[order], doc[order], at[order]
-        _, gone = settled(key, kind, doc, spec.within)
-        first, _, last = _unpack(at[gone])
-        g_doc, g_start, g_end = merged(doc[gone], first, last + spec.length)
+        lead, gone = settled(key, kind, doc, spec.within)
+        first, _, last = _unpack(at)
+        if spec.traced:
+            whose = [doc[gone], doc[lead[gone]], first[gone] - first[lead[gone]]]
+            g_doc, src, shift, g_start, g_end = merged_by(whose, first[gone], last[gone] + spec.length)
+        else:
+            g_doc, g_start, g_end = merged(doc[gone], first[gone], last[gone] + spec.length)
         stay = ~gone
-        parts = (
+        parts = [
             np.concatenate([key[stay], mix((g_doc + g_start).view(np.uint64)).view(np.int64)]),
             np.concatenate([kind[stay], g_start]), np.concatenate([doc[stay], g_doc]), np.concatenate([at[stay], -1 - g_end]),
-        )
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "kind", "doc", "at"])
+        ]
+        if spec.traced:
+            parts += [np.concatenate([np.zeros(stay.sum(), np.int64), x]) for x in (src, shift)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SCAN_BYTES):
@@ -161,11 +184,14 @@ def anchor_rows(docs: DataFrame, symbols: Callable, spec: Windows) -> DataFrame:
             if ids:
                 yield rows(ids, found, base)
 
-    return map_arrow(docs, run, "key long, kind long, doc long, at long")
+    return map_arrow(docs, run, ", ".join(f"{n} long" for n in names))
 
 
 def references(rows: DataFrame, spec: Windows, partitions: int | None = None) -> DataFrame:
-    """(doc, start, end, key, anchor, how): settled ranges (how 0) and references to classes left open (1; 2: of a split anchor)."""
+    """(doc, start, end, key, anchor, how): settled ranges (how 0) and references to classes left open (1; 2: of a split anchor).
+
+    Of a settled range that is traced, ``key`` is the document that has it earlier and ``anchor`` how much further on it is here.
+    """
 
     def flush(out: list, how: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
         first, anchor, last = _unpack(at)
@@ -181,10 +207,14 @@ def references(rows: DataFrame, spec: Windows, partitions: int | None = None) ->
             out: list[tuple[np.ndarray, ...]] = []
             local = at < 0
             if local.any():
-                out.append((doc[local], kind[local], -1 - at[local], np.zeros(local.sum(), np.int64), np.zeros(local.sum(), np.int64), np.zeros(local.sum(), np.int64)))
+                none = np.zeros(local.sum(), np.int64)
+                trace = [np.concatenate([np.zeros(len(held[0]), np.int64), b.column(c).to_numpy()])[local] for c in ("src", "shift")] if spec.traced else [none, none]
+                out.append((doc[local], kind[local], -1 - at[local], *trace, none))
                 key, kind, doc, at = key[~local], kind[~local], doc[~local], at[~local]
-            _, gone = settled(key, kind, doc, spec.within)
-            flush(out, 0, key[gone], doc[gone], at[gone])
+            lead, gone = settled(key, kind, doc, spec.within)
+            first, _, last = _unpack(at)
+            trace = (doc[lead[gone]], first[gone] - first[lead[gone]]) if spec.traced else (key[gone], key[gone])
+            out.append((doc[gone], first[gone], last[gone] + spec.length, *trace, np.zeros(gone.sum(), np.int64)))
             key, kind, doc, at = key[~gone], kind[~gone], doc[~gone], at[~gone]
             held = [np.zeros(0, np.int64)] * 4
             if len(key):
@@ -243,7 +273,7 @@ def parts(start: int, end: int, anchor: int, key: int, how: int, symbols: np.nda
 
 
 def snippets(open_: DataFrame, symbols: Callable, spec: Windows, cut: Callable, kind: str) -> DataFrame:
-    """(key, doc, start, snippet) of the parts of all references of open_(doc, text, refs), dealt out and sorted by key.
+    """(key, doc, start, how, snippet) of the parts of all references of open_(doc, text, refs), dealt out and sorted by key.
 
     ``cut`` gives the snippet between two places of what ``symbols`` and the text say.
     """
@@ -258,26 +288,67 @@ def snippets(open_: DataFrame, symbols: Callable, spec: Windows, cut: Callable,
                     if r["how"] == 2 and own is None:
                         own = symbols(text)
                     for key, start, end in parts(r["start"], r["end"], r["anchor"], r["key"], r["how"], own, spec):
-                        out.append((key, doc, start, give(start, end)))
+                        out.append((key, doc, start, r["how"], give(start, end)))
             if out:
-                key, doc, start, snippet = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(snippet)], ["key", "doc", "start", "snippet"])
+                *numbers, snippet = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(snippet)], ["key", "doc", "start", "how", "snippet"])
 
-    found = map_arrow(open_, run, f"key long, doc long, start long, snippet {kind}")
+    found = map_arrow(open_, run, f"key long, doc long, start long, how long, snippet {kind}")
     return found.repartition("key").sortWithinPartitions("key", "doc", "start")
 
 
+#: Windows of a source that one key stands for; symbols of passages of one key before it is dealt to more tasks.
+SOURCE, SALTED = 8_000, 400_000
+
+
+def passages(found: DataFrame, spec: Windows) -> DataFrame:
+    """(doc, start, end, key, anchor, how): traced ranges made whole (how 3), and their sources (how 4), by key.
+
+    What a document shares with one source at one distance is one passage, cut where blocks of the source's windows end.
+    A key is a source's block; of those with many passages a document's goes to one of several tasks, each of which gets the source.
+    """
+    gone = found.where("how = 0").groupBy("doc").agg(F.collect_list(F.struct(F.col("key").alias("src"), F.col("anchor").alias("shift"), "start", "end")).alias("ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = np.repeat(b.column("doc").to_numpy(), pc.list_value_length(b.column("ranges")).to_numpy(zero_copy_only=False))
+            flat = b.column("ranges").flatten()
+            src, shift, start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            doc, src, shift, start, end = merged_by([doc, src, shift], start, end)
+            low, high = (start - shift) // SOURCE, (end - shift - spec.length) // SOURCE
+            n = high - low + 1
+            at = np.repeat(np.arange(len(doc)), n)
+            block = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
+            move = shift[at]
+            first = np.maximum(start[at], block * SOURCE + move)
+            last = np.minimum(end[at] - spec.length, block * SOURCE + SOURCE - 1 + move)
+            columns = (doc[at], first, last + spec.length, src[at], move, block)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "start", "end", "src", "shift", "block"])
+
+    own = written(map_arrow(gone, run, "doc long, start long, end long, src long, shift long, block long"))
+    place = own.groupBy("src", "block").agg((F.floor(F.sum(F.col("end") - F.col("start")) / SALTED) + 1).alias("salts"), F.min(F.col("start") - F.col("shift")).alias("start"), F.max(F.col("end") - F.col("shift")).alias("end"))
+    name = lambda salt: F.xxhash64("src", "block", salt)
+    mine = own.join(place.select("src", "block", "salts").hint("merge"), ["src", "block"]).select("doc", "start", "end", name(F.pmod(F.xxhash64("doc"), F.col("salts"))).alias("key"), F.lit(3).cast("long").alias("how"))
+    # All that lies between the outermost windows that passages have of a block; it has no window that isn't the source's.
+    theirs = place.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(F.col("src").alias("doc"), "start", "end", name(F.col("salt")).alias("key"), F.lit(4).cast("long").alias("how"))
+    return mine.unionByName(theirs).select("doc", "start", "end", "key", F.lit(0).cast("long").alias("anchor"), "how")
+
+
 def removed_ranges(own: DataFrame, symbols: Callable, spec: Windows, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc, ranges) of all symbols to remove from own(doc, text); documents without any are missing.
 
-    ``resolve`` gets (doc, text, refs) of references left open, and gives (doc, start, end).
+    ``resolve`` gets (doc, text, refs) of references left open, and of traced passages, and gives (doc, start, end).
     """
     own = own.select("doc", "text")
     found = written(references(anchor_rows(own, symbols, spec), spec))
-    gone = found.where("how = 0").select("doc", "start", "end")
-    refs = found.where("how > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "key", "anchor", "how")).alias("refs"))
-    more = resolve(refs.join(own.hint("merge"), "doc"))
-    return gone.unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    refs = found.where("how > 0")
+    if spec.traced:
+        refs = refs.unionByName(passages(found, spec))
+    refs = refs.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "key", "anchor", "how")).alias("refs"))
+    gone = resolve(refs.join(own.hint("merge"), "doc"))
+    if not spec.traced:
+        gone = found.where("how = 0").select("doc", "start", "end").unionByName(gone)
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def range_arrays(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -1,11 +1,12 @@
 """Repeated phrases: windows of words that an earlier document has too, found by sharded automata.
 
 A word goes if a window of ``length`` consecutive words that covers it has a word sequence which also
-starts in a document of smaller doc_id; windows are judged on the input. ``anchors`` confirms recurring passages,
-settles those whose surroundings are equal as well, and routes what is left open by anchor, so a
-shard gets all passages that may share a window. Each shard compiles the windows of its passages into
-one Aho-Corasick automaton, a window's value being the smallest document that has it, and streams its
-passages through it: every occurrence in a document larger than that value is marked.
+starts in a document of smaller doc_id; windows are judged on the input. ``anchors`` finds recurring passages: what a
+document seems to share with an earlier one goes to a shard of that source, and what only
+shares an anchor to one of that anchor, so a shard gets all passages that may share a window. Each shard compiles the windows
+of its sources into one Aho-Corasick automaton, a window's value being the smallest document that has it, and
+streams its passages through it: every occurrence in a document larger than that value is marked. Nothing is removed but
+by an occurrence, word by word, so no hash decides.
 
 Edge cases: null texts have no words; texts of fewer than ``length`` words stay whole; repeats within one
 document stay; rows that share a doc_id (or have none, which comes first) are documents of their own, in the order of the
@@ -36,13 +37,13 @@ def word_symbols(text: str) -> np.ndarray:
     return words_of([text.encode()])[0]
 
 
-def marked(rows: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of every window in the passages (doc, first word, words) that has an occurrence in a smaller document."""
+def marked(sources: list[tuple[int, int, bytes]], rows: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, start) of every window in the passages ``rows``, (doc, first word, words), that has an occurrence in a smaller document of ``sources``."""
     import ahocorasick
 
-    words = [x[2].split() for x in rows]
     least: dict[bytes, int] = {}
-    for (doc, _, _), w in zip(rows, words, strict=True):
+    for doc, _, body in sources:
+        w = body.split()
         for i in range(len(w) - length + 1):
             window = b" ".join(w[i : i + length])
             known = least.get(window)
@@ -55,16 +56,16 @@ def marked(rows: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     automaton.make_automaton()
     docs, starts = [], []
-    for (doc, first, _), w in zip(rows, words, strict=True):
-        ends, at = {}, 0
-        for i, x in enumerate(w):  # a pattern ends with the gap after its last word
-            at += len(x) + 1
-            ends[at] = i
-        for end, smallest in automaton.iter(f" {b' '.join(w).decode('latin-1')} "):
-            if smallest < doc:
-                docs.append(doc)
-                starts.append(first + ends[end] - length + 1)
-    return np.array(docs, np.int64), np.array(starts, np.int64)
+    for doc, first, body in rows:
+        hits = [end for end, smallest in automaton.iter(f" {body.decode('latin-1')} ") if smallest < doc]
+        if hits:
+            # A pattern ends with the gap after its last word; gaps are single here.
+            gaps = np.flatnonzero(np.frombuffer(body + b" ", np.uint8) == 0x20)
+            docs.append(np.full(len(hits), doc))
+            starts.append(first + np.searchsorted(gaps, np.array(hits) - 1) - length + 1)
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(docs), np.concatenate(starts)
 
 
 def resolver(spec: Windows):
@@ -73,21 +74,30 @@ def resolver(spec: Windows):
         return lambda start, end: b" ".join(words[start:end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Passages of a source (how 3) need only the source's patterns (how 4), which come first; others compare with one another.
+        sources: list[tuple[int, int, bytes]] = []
         shard: list[tuple[int, int, bytes]] = []
-        size, last = 0, None
+        size, last, begin = 0, None, 0
 
         def solved() -> pa.RecordBatch:
-            doc, start = marked(shard, spec.length)
+            doc, start = marked(sources, shard, spec.length)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(doc, start, start + spec.length)], ["doc", "start", "end"])
 
-        for b in gathered(batches, 20_000):
-            for key, doc, start, snippet in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "start", "snippet")), strict=True):
-                if size >= SHARD and key != last:
+        for b in gathered(batches, 5_000):
+            for key, doc, start, how, snippet in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "start", "how", "snippet")), strict=True):
+                if size >= SHARD and (key != last or how >= 3):
                     yield solved()
                     shard, size = [], 0
-                shard.append((doc, start, snippet))
+                    sources = sources[begin:] if key == last else []
+                    begin = 0
+                if key != last:
+                    last, begin = key, len(sources)
+                row = (doc, start, snippet)
+                if how != 3:
+                    sources.append(row)
+                if how != 4:
+                    shard.append(row)
                 size += snippet.count(b" ") + 1
-                last = key
         if shard:
             yield solved()
 
@@ -99,7 +109,7 @@ def resolver(spec: Windows):
 
 def phrase_free(docs: DataFrame, length: int = 13, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, many: int = MANY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, and with ``keep_text`` kept_text, the words left joined by spaces."""
-    spec = Windows(length, min(GRAM, length), within=False, many=many)
+    spec = Windows(length, min(GRAM, length), within=False, many=many, traced=True)
     own, _ = identified(docs, text, doc_id)
     ranges = removed_ranges(own, word_symbols, spec, resolver(spec))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
