@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from lectern.llm.arrow import gathered, slices
-from lectern.llm.common import written
+from lectern.llm.common import small_enough, written
 from lectern.llm.wordhash import POWERS, mix
 from lectern.llm.worker import map_arrow
 
@@ -328,7 +328,9 @@ def passages(found: DataFrame, spec: Windows) -> DataFrame:
     own = written(map_arrow(gone, run, "doc long, start long, end long, src long, shift long, block long"))
     place = own.groupBy("src", "block").agg((F.floor(F.sum(F.col("end") - F.col("start")) / SALTED) + 1).alias("salts"), F.min(F.col("start") - F.col("shift")).alias("start"), F.max(F.col("end") - F.col("shift")).alias("end"))
     name = lambda salt: F.xxhash64("src", "block", salt)
-    mine = own.join(place.select("src", "block", "salts").hint("merge"), ["src", "block"]).select("doc", "start", "end", name(F.pmod(F.xxhash64("doc"), F.col("salts"))).alias("key"), F.lit(3).cast("long").alias("how"))
+    hot = written(place.where("salts > 1").select("src", "block", "salts"))
+    dealt = own.join(F.broadcast(hot) if small_enough(hot) else hot.hint("merge"), ["src", "block"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("salts")), F.lit(0)))
+    mine = dealt.select("doc", "start", "end", name(F.col("salt")).alias("key"), F.lit(3).cast("long").alias("how"))
     # All that lies between the outermost windows that passages have of a block; it has no window that isn't the source's.
     theirs = place.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(F.col("src").alias("doc"), "start", "end", name(F.col("salt")).alias("key"), F.lit(4).cast("long").alias("how"))
     return mine.unionByName(theirs).select("doc", "start", "end", "key", F.lit(0).cast("long").alias("anchor"), "how")

@@ -37,32 +37,43 @@ def word_symbols(text: str) -> np.ndarray:
     return words_of([text.encode()])[0]
 
 
+class Letters(dict):
+    """Distinct words as characters, one each, none of them a surrogate."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = letter = chr(n if n < 0xD800 else n + 0x800)
+        return letter
+
+
 def marked(sources: list[tuple[int, int, bytes]], rows: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of every window in the passages ``rows``, (doc, first word, words), that has an occurrence in a smaller document of ``sources``."""
     import ahocorasick
 
-    least: dict[bytes, int] = {}
-    for doc, _, body in sources:
-        w = body.split()
-        for i in range(len(w) - length + 1):
-            window = b" ".join(w[i : i + length])
+    spell = Letters().__getitem__
+    met: dict[int, str] = {}
+    least: dict[str, int] = {}
+    for row in sources:
+        doc, _, body = row
+        s = met[id(row)] = "".join(map(spell, body.split()))
+        for window in (s[i : i + length] for i in range(len(s) - length + 1)):
             known = least.get(window)
             if known is None or doc < known:
                 least[window] = doc
-    automaton = ahocorasick.Automaton()
-    for window, doc in least.items():
-        automaton.add_word(f" {window.decode('latin-1')} ", doc)
     if not least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    automaton = ahocorasick.Automaton()
+    for window, doc in least.items():
+        automaton.add_word(window, doc)
     automaton.make_automaton()
     docs, starts = [], []
-    for doc, first, body in rows:
-        hits = [end for end, smallest in automaton.iter(f" {body.decode('latin-1')} ") if smallest < doc]
+    for row in rows:
+        doc, first, body = row
+        s = met.get(id(row)) or "".join(map(spell, body.split()))
+        hits = [end for end, smallest in automaton.iter(s) if smallest < doc]
         if hits:
-            # A pattern ends with the gap after its last word; gaps are single here.
-            gaps = np.flatnonzero(np.frombuffer(body + b" ", np.uint8) == 0x20)
             docs.append(np.full(len(hits), doc))
-            starts.append(first + np.searchsorted(gaps, np.array(hits) - 1) - length + 1)
+            starts.append(np.array(hits) + (first - length + 1))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(docs), np.concatenate(starts)
