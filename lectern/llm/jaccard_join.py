@@ -44,6 +44,8 @@ SCAN_BYTES, RATIO, ROUNDS, NEAREST = 3_000_000, 1.5, 2, 1
 WORDS = 1_500_000
 #: Members of a node that one task tests; rows gathered of sorted batches.
 TESTED, GATHER = 1_000, 100_000
+#: Pairs put out at a time.
+PUT_OUT = 50_000
 #: Pairs, of 24 bytes, that may be broadcast.
 FEW = 100_000
 
@@ -266,11 +268,10 @@ def near_pairs(members: DataFrame, nearest: int | None, percent: int) -> DataFra
     components only grow.
     """
 
-    def compare(rows: list[tuple]) -> set[tuple[int, int]]:
+    def compare(rows: list[tuple]) -> Iterator[list[tuple[int, int]]]:
         size = min(len(r[3]) for r in rows)
         node, component, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         bits = np.stack([unfolded(r[3], size) for r in rows])
-        out: set[tuple[int, int]] = set()
         side = max(4, int((WORDS / bits.shape[1]) ** 0.5))
         for i in range(0, len(rows), side):
             for j in range(i, len(rows), side):
@@ -284,27 +285,45 @@ def near_pairs(members: DataFrame, nearest: int | None, percent: int) -> DataFra
                     good &= ranked <= np.partition(ranked, k, axis=1)[:, k : k + 1]
                     few = np.cumsum(good, axis=1) <= nearest
                     good &= few
-                for u, v in zip(*(w.tolist() for w in np.nonzero(good)), strict=True):
-                    a, b = int(node[i + u]), int(node[j + v])
-                    out.add((a, b) if a < b else (b, a))
-        return out
+                u, v = np.nonzero(good)
+                if len(u):
+                    a, b = node[i + u], node[j + v]
+                    yield list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Neighbouring buckets have many pairs in common: each is put out once a batch, and something for each bucket with a pair.
         held: list[tuple] = []
-        last, out = None, []
+        last, out, seen = None, [], set()
+
+        def batch() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "a", "b"])
+            out.clear()
+            seen.clear()
+            return rows
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            near, new = None, False
+            for pairs in compare(held) if len(held) > 1 else ():
+                for near in pairs:
+                    if near not in seen:
+                        seen.add(near)
+                        out.append((last, *near))
+                        new = True
+                if len(out) >= PUT_OUT:
+                    yield batch()
+            if near and not new:
+                out.append((last, *near))
+
         for b in gathered(batches, 20_000):
             for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch")), strict=True):
                 if key != last and held:
-                    if len(held) > 1:
-                        out += [(last, *pair) for pair in compare(held)]
+                    yield from compared()
                     held = []
                 last = key
                 held.append(tuple(row))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "a", "b"])
-                out = []
-        if len(held) > 1 and (out := [(last, *pair) for pair in compare(held)]):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "a", "b"])
+        yield from compared()
+        if out:
+            yield batch()
 
     dealt = members.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch")
     return map_arrow(dealt, run, "key long, a long, b long")
