@@ -33,7 +33,7 @@ from lectern.llm.wordhash import BYTE
 from lectern.llm.worker import map_arrow
 
 #: Bytes of an anchor; bytes of a shard, exceeded only by snippets of one anchor.
-GRAM, SHARD = 32, 1_000_000
+GRAM, SHARD = 32, 500_000
 
 
 def byte_symbols(text: str) -> np.ndarray:
