@@ -406,14 +406,96 @@ OPERATORS = {
 }
 
 
+SAME = "some text " * 9
+ODD_ROWS = [(1, SAME, "en", "s", 1), (1, SAME, "en", "s", 1), (2, None, None, None, None), (None, SAME, None, "s", 3), (3, SAME, "de", "s", 3), (4, "", "en", "s", 0)]
+
+
+def odd_values(name):
+    """(doc_id, values) of every row of ``ODD_ROWS``, for operators whose values follow from their contract alone."""
+    import sentencepiece
+    import tiktoken
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    ids = [r[0] for r in ODD_ROWS]
+    raw = [(r[1] or "").encode() for r in ODD_ROWS]
+    full = [bool(b) for b in raw]
+    if name == "quality":
+        return "n_words n_repeat_words base_failed kept", [(i, 18 * f, 18 * f, True, False) for i, f in zip(ids, full, strict=True)]
+    if name == "byte_bpe":
+        lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).ranks, special_tokens={})
+        coded = [lib.encode_ordinary(b.decode()) for b in raw]
+        return "n_tokens ids_sha256 decoded_sha256", [(i, len(c), digest(",".join(map(str, c)).encode()), digest(b)) for i, c, b in zip(ids, coded, raw, strict=True)]
+    if name == "suffix":  # a row without an id comes first; its text recurs within itself after ten bytes
+        gone = [0 if not f else 80 if i is None else 90 for i, f in zip(ids, full, strict=True)]
+        return "n_bytes n_removed n_spans kept_sha256", [(i, len(b), g, int(g > 0), digest(b[: len(b) - g])) for i, b, g in zip(ids, raw, gone, strict=True)]
+    if name == "phrase":
+        gone = [18 if f and i is not None else 0 for i, f in zip(ids, full, strict=True)]
+        return "n_words n_removed kept_sha256", [(i, 18 * f, g, digest(b"" if g else b.strip())) for i, f, g, b in zip(ids, full, gone, raw, strict=True)]
+    if name == "exact":
+        return "keep_id group_size kept text_sha256", [(i, 3 if f else 4, 4 if f else 2, i in (3, 4), digest(b)) for i, f, b in zip(ids, full, raw, strict=True)]
+    if name == "near":  # the smallest id of a group with a row without one is none
+        return "n_shingles component_id", [(i, 2 * f, None if f else i) for i, f in zip(ids, full, strict=True)]
+    if name == "counts":
+        lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        return "n_bytes n_tokens over_limit", [(i, len(b), len(lib.encode(b.decode())), False) for i, b in zip(ids, raw, strict=True)]
+    return None
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_edges(spark, name):
-    """Empty tables, null ids and languages, repeated rows, clashing names: one row out for each row in."""
+    """Empty tables, null ids and languages, repeated rows, clashing names: one row out for each row in, with its values."""
     clashing = SCHEMA + ", n_words long, key long, doc long, score double, kept boolean, ranges string, name string"
     more = (0, 0, 0, 0.0, True, "r", "n")
-    rows = [(1, "some text " * 9, "en", "s", 1), (1, "some text " * 9, "en", "s", 1), (2, None, None, None, None), (None, "some text " * 9, None, "s", 3), (3, "some text " * 9, "de", "s", 3), (4, "", "en", "s", 0)]
-    assert OPERATORS[name](spark, spark.createDataFrame([r + more for r in rows], clashing)).count() >= len(rows)
+    out = OPERATORS[name](spark, spark.createDataFrame([r + more for r in ODD_ROWS], clashing))
     assert OPERATORS[name](spark, spark.createDataFrame([], clashing)).count() == 0
+    expected = odd_values(name)
+    if expected:
+        found = out.select("doc_id", *expected[0].split()).collect()
+        assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected[1]))
+        return
+    own = "lang_pred" if name == "language" else "predicted"
+    found = [(r.doc_id, r[own], r.score) for r in out.collect()]
+    assert sorted(str(r[0]) for r in found) == sorted(str(r[0]) for r in ODD_ROWS) and all(0 <= r[2] <= 1 for r in found)
+    assert len({r[1:] for r in found if r[0] not in (2, 4)}) == 1 and len({r[1:] for r in found if r[0] in (2, 4)}) == 1
+    if name == "language":
+        assert {r[1:] for r in found if r[0] in (2, 4)} == {("und", 0.0)}
+
+
+def test_very_long_texts(spark):
+    """A text longer than any block of the operators, and a part of it that lies across the ends of their blocks."""
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(360_000))
+    assert len(long) > anchors.SEGMENT + 50_000
+    part = long[anchors.SEGMENT - 2500 : anchors.SEGMENT + 2500]
+    texts = [(1, long), (2, part), (3, "tiny")]
+    docs = frame(spark, texts)
+    for r in suffix_dedup.substring_free(docs, 100, keep_text=False).collect():
+        assert (r.n_bytes, r.n_removed) == (len(dict(texts)[r.doc_id]), 5000 if r.doc_id == 2 else 0)
+    words = {d: WORD.findall(t) for d, t in texts}
+    whole = len(words[2]) - sum(1 for w, at in ((words[2][0], anchors.SEGMENT - 2501), (words[2][-1], anchors.SEGMENT + 2500)) if long[at] != " ")
+    for r in phrase_dedup.phrase_free(docs, 13, keep_text=False).collect():
+        assert r.n_words == len(words[r.doc_id]) and r.n_removed == (whole if r.doc_id == 2 else 0)
+    assert {r.doc_id: (r.keep_id, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()} == {d: (d, hashlib.sha256(t.encode()).hexdigest()) for d, t in texts}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_groups(docs, 4, 85).collect()} == {d: (len(set(zip(*(w[k:] for k in range(4)), strict=False))) or 1, d) for d, w in words.items()}
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ByteBpe(file, public_tokenizers.PATTERN).ranks, special_tokens={})
+    for r in byte_bpe.encoded(docs, file, public_tokenizers.PATTERN, keep_ids=False).collect():
+        t = dict(texts)[r.doc_id]
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, lib.encode_ordinary(t))).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=file)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, file).collect()} == {d: len(lib.encode(t)) for d, t in texts}
+    file = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(file)
+    size = Counter()
+    for r in packing.packed(docs, file).collect():
+        size[r.doc_id] += r.length
+    assert size == {d: len(lib.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts}
 
 
 def thue_morse(n):
@@ -466,7 +548,12 @@ def test_windows_too_long_are_refused(spark):
 def test_packing_edges(spark):
     rows = spark.createDataFrame([(None, None, None, None, None), (1, "a", "en", "s", 1), (1, "a", "en", "s", 1)], SCHEMA)
     file = public_tokenizers.path("word_bpe_49k.json")
-    assert packing.packed(rows, file).count() >= 3 and packing.packed(spark.createDataFrame([], SCHEMA), file).count() == 0
+    clashing = rows.withColumns({n: F.lit("x") for n in ("start", "length", "sequence_id", "offset", "doc", "ids", "doc_tokens")})
+    for own in (rows, clashing):
+        out = packing.packed(own, file).collect()
+        assert sorted((str(r.doc_id), r.start, r.length, r.doc_tokens) for r in out) == [("1", 0, 2, 2), ("1", 0, 2, 2), ("None", 0, 1, 1)]
+        assert len({(r.sequence_id, r.offset) for r in out}) == 3
+    assert packing.packed(spark.createDataFrame([], SCHEMA), file).count() == 0
 
 
 def test_written_tables_go_to_the_shared_folder(spark):

@@ -1,10 +1,15 @@
 """Stages of the pipeline against brute force, and its edge cases."""
 
 import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lectern.llm.common import documents, written
-from lectern.llm.suffix_dedup import substring_free
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,10 +47,44 @@ def test_stages(spark, sf_dir):
                 root[max(x, y)] = min(x, y)
     assert set(near) == {d for d in root if find(d) == d}
     assert set(cut) == set(near) and all(len(cut[d].text) <= len(near[d].text) and cut[d].n_chars == len(cut[d].text) for d in cut)
-    again = substring_free(docs.sparkSession.createDataFrame([tuple(r) for r in near.values()], SCHEMA)).collect()
-    assert {r.doc_id: r.kept_text for r in again} == {d: r.text for d, r in cut.items()}
-    out = corpus_pipeline.packing(spark, docs, sf_dir)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(cut)
+    first = {}
+    for d in sorted(near):
+        raw = near[d].text.encode()
+        for i in range(len(raw) - 99):
+            first.setdefault(raw[i : i + 100], (d, i))
+    lost = 0
+    for d in near:
+        raw = near[d].text.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if first[raw[i : i + 100]] != (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        left, at = [], 0
+        for c in near[d].text:
+            n = len(c.encode())
+            left.append("" if any(gone[at : at + n]) else c)
+            at += n
+        assert cut[d].text == "".join(left)
+        lost += sum(gone)
+    assert lost > 0
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, used = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.packing(spark, docs, sf_dir).collect():
+        pieces[r.doc_id].append(r)
+        used[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(cut)
+    for d, own in pieces.items():
+        ids, at = [*lib.encode(cut[d].text, add_special_tokens=False).ids, 2], 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= corpus_pipeline.SEQUENCE
 
 
 def test_stages_take_odd_rows(spark, sf_dir):
