@@ -164,6 +164,29 @@ def test_suffix_dedup_matches_brute_force(spark, texts, length, many):
     assert all(r.kept_text is not None for r in out)
 
 
+def test_suffix_dedup_sorts_only_what_recurs(monkeypatch):
+    """A line shorter than the length in many texts brings their snippets together, but of these only equal strings are sorted."""
+    rng = random.Random(11)
+    line, own = bytes(rng.choices(b"abc ", k=76)), lambda n: bytes(rng.choices(range(97, 123), k=n))
+    rows = [(7, i, 10 * i, own(60) + line + own(60)) for i in range(300)]
+    rows += [(7, 300, 5, rows[40][3][50:170]), (7, 301, 0, rows[40][3][30:131]), (8, 302, 0, own(150)), (9, 303, 0, b"x" * 130), (9, 303, 200, b"x" * 100)]
+    first, expected = {}, set()
+    for _, doc, start, raw in rows:
+        for k in range(len(raw) - 99):
+            if first.setdefault(raw[k : k + 100], (doc, start + k)) != (doc, start + k):
+                expected |= {(doc, start + k + j) for j in range(100)}
+    sizes, order = [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, depth: sizes.append(len(data)) or order(data, depth))
+    monkeypatch.setattr(suffix_dedup, "snippets", lambda open_, *_: open_)
+    monkeypatch.setattr(suffix_dedup, "map_arrow", lambda batches, run, _: list(run(iter(batches))))
+    resolve = suffix_dedup.resolver(anchors.Windows(100, 32, within=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["key", "doc", "start", "snippet"])
+    found = [r for b in resolve([batch]) for r in b.to_pylist()]
+    assert {(r["doc"], at) for r in found for at in range(r["start"], r["end"])} == expected
+    assert 0 < sum(sizes) < 1_000
+    assert not resolve([batch.slice(0, 40)])[0].num_rows
+
+
 def test_long_intervals_on_random_text():
     rng = random.Random(4)
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(400)), np.uint8)
